@@ -120,7 +120,7 @@ BASE = Rule("base", lambda x: x.n_words < 20 or 100 * x.n_repeat_words > 30 * x.
 #: Thresholds in whole numbers, so that every engine decides alike.
 RULES = [
     Rule("symbols", lambda x: 100 * x.n_symbols > 10 * x.n_words),
-    Rule("duplicate_lines", lambda x: 100 * x.n_dup_lines > 30 * len(x.lines)),
+    Rule("duplicate_lines", lambda x: 100 * x.n_dup_lines > 50 * len(x.lines)),
     Rule("short_words", lambda x: 10 * x.word_chars < 25 * x.n_words),
     Rule("long_words", lambda x: x.word_chars > 15 * x.n_words),
     Rule("capitals", lambda x: 100 * x.n_upper > 60 * x.n_letters),
