@@ -215,7 +215,7 @@ hits AS (
 ), numbered AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM hits),
 spans AS (
     SELECT doc_id, n, label, prio, conf,
-        list_sum(list_transform(s[1:i], x -> {words_in.format('x')})) + coalesce(list_sum(list_transform(m[1:i - 1], x -> {words_in.format('x')})), 0) AS st,
+        list_sum(list_transform(s[1:i], lambda x: {words_in.format('x')})) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: {words_in.format('x')})), 0) AS st,
         {words_in.format('m[i]')} AS len
     FROM numbered
 ), kept AS (
