@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import compaction, kmeans_tree, langid, license_scan, line_dedup, mixing, near_duplicates, quality, token_store
+from gridloom.llm import compaction, kmeans_tree, langid, license_scan, line_dedup, mixing, near_duplicates, quality, sentencepiece_viterbi, token_store
 from gridloom.llm.common import new_folder, table
 
 
@@ -41,6 +41,10 @@ def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.ingest(table(spark, sf_dir, "documents"), new_folder(spark, "sharded"), arrivals=8).read()
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.components(table(spark, sf_dir, "documents").select("doc_id", "text"), near_duplicates.Join(width=3, num=90))
 
@@ -57,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-ALL = [op1_token_store, op2_quality_cascade, op3_kmeans_tree, op4_poisson_mix, op5_compaction, op7_ngram_jaccard, op8_language_id, op9_line_dedup, op10_license_scan]
+ALL = [op1_token_store, op2_quality_cascade, op3_kmeans_tree, op4_poisson_mix, op5_compaction, op6_sentencepiece, op7_ngram_jaccard, op8_language_id, op9_line_dedup, op10_license_scan]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -48,10 +48,16 @@ END_ID = 2
 _loaded: dict[str, tuple] = {}
 #: White space beside a space, or a space at an edge: such texts are encoded as they are.
 _UNEVEN = re.compile(r"\s | \s|^ | $")
+#: White space other than spaces and newlines.
+_RARE = re.compile(r"[^\S \n]")
 #: Letters, then other characters than letters, white space or an apostrophe.
 _TAIL = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
 
 
+#: Parts that a newline may part: they begin with a blank and letters or are marks only, and end in neither blank.
+_PLAIN = re.compile(r" [^\W\d_]+|[^\w\s]+")
+
+
 def _tokenizer(path: str) -> tuple:
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -68,43 +74,60 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     where a run of letters ends. So words are encoded alone, and those that come often once only.
     """
     tokenizer, words, stems = _tokenizer(path)
-    out: list = [_raw(tokenizer, x) if x and _UNEVEN.search(x) else b"" for x in texts]
-    parts = [None if not x or y else x.split(" ") for x, y in zip(texts, out, strict=True)]
-    new = list({w for x in parts if x for w in x[1:] if w not in words})
-    cuts = [(m[1], m[2]) if (m := _TAIL.fullmatch(x)) else (x,) for x in (" " + w for w in new)]
-    ids = _encode_parts(tokenizer, list({y for x in cuts for y in x if y not in stems}))
-    made = {w: b"".join([ids[y] if y in ids else stems[y] for y in x]) for w, x in zip(new, cuts, strict=True)}
-    if len(words) + len(made) > CACHE_WORDS:
-        made = {**words, **made}
-        look = made
-    else:
-        words.update(made)
-        look = words
-    if len(stems) + len(ids) <= CACHE_STEMS:
-        stems.update(ids)
-    for i, x in enumerate(parts):
+    parts = [x.split(" ") if x and _even(x) else None for x in texts]
+    flat = [w for x in parts if x for w in x[1:]]
+    ids = list(map(words.get, flat))
+    missing = [i for i, x in enumerate(ids) if x is None]
+    if missing:
+        new = list({flat[i] for i in missing})
+        cuts = [(m[1], m[2]) if (m := _TAIL.fullmatch(x)) else (x,) for x in (" " + w for w in new)]
+        fresh = _encode_parts(tokenizer, list({y for x in cuts for y in x if y not in stems}))
+        made = {w: b"".join([fresh[y] if y in fresh else stems[y] for y in x]) for w, x in zip(new, cuts, strict=True)}
+        for i in missing:
+            ids[i] = made[flat[i]]
+        if len(words) + len(made) <= CACHE_WORDS:
+            words.update(made)
+        if len(stems) + len(fresh) <= CACHE_STEMS:
+            stems.update(fresh)
+    out, at = [], 0
+    for text, x in zip(texts, parts, strict=True):
         if x:
-            out[i] = b"".join([_raw(tokenizer, x[0]), *map(look.__getitem__, x[1:])])
+            out.append(b"".join([_raw(tokenizer, x[0]), *ids[at : at + len(x) - 1]]))
+            at += len(x) - 1
+        else:
+            out.append(_raw(tokenizer, text) if text else b"")
     return out
 
 
+def _even(text: str) -> bool:
+    """Whether each space stands between two characters that aren't white space."""
+    if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
+        return False
+    return not (_RARE.search(text) and _UNEVEN.search(text))
+
+
 def _raw(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def _encode_parts(tokenizer, parts: list[str]) -> dict[str, bytes]:
     """Ids of each part alone. Many go to the tokenizer as one string, between marks that it never merges over."""
-    mark = tokenizer.token_to_id(MARK)
-    alone = {x: _raw(tokenizer, x) for x in parts if MARK in x} if mark is not None else {x: _raw(tokenizer, x) for x in parts}
-    rest = [x for x in parts if x not in alone]
-    for i in range(0, len(rest), 20_000):
-        some = rest[i : i + 20_000]
-        groups = [some[j : j + 200] for j in range(0, len(some), 200)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([MARK.join(x) for x in groups], add_special_tokens=False), strict=True):
+    mark, line = tokenizer.token_to_id(MARK), tokenizer.token_to_id("\u010a")  # the vocabulary's name of a newline
+    alone, plain, marked = {}, [], []
+    for x in parts:
+        if line is not None and _PLAIN.fullmatch(x):
+            plain.append(x)
+        elif mark is not None and MARK not in x:
+            marked.append(x)
+        else:
+            alone[x] = _raw(tokenizer, x)
+    for some, between, cut in ((plain, "\n", line), (marked, MARK, mark)):
+        groups = [some[j : j + 1000] for j in range(0, len(some), 1000)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([between.join(x) for x in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids))
-            whole, starts = ids.tobytes(), [0, *(ends[:-1] + 1)]
-            alone.update((x, whole[a * 4 : b * 4]) for x, a, b in zip(group, starts, ends, strict=True))
+            ends = np.append(np.flatnonzero(ids == cut), len(ids)) * 4
+            whole, starts = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
+            alone.update((x, whole[a:b]) for x, a, b in zip(group, starts, ends.tolist(), strict=True))
     return alone
 
 
