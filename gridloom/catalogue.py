@@ -1,11 +1,579 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, each over whole tables, with the same in SQL."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.functions import wide
+from gridloom.operators import assembly, control, linalg, maps, quorum, sorting, telemetry, timing
+from gridloom.sources import dense, records
+from gridloom.streaming import incremental
+from gridloom.tables import CELLS_SQL, CHUNKS_SQL, SAMPLES_SQL, SUBMISSIONS_SQL, cells, chunks, load, micros, samples, submissions, whole_rows
 
-def oracle_sql() -> dict:
-    return {}
+_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+#: The moment that ages are counted to, in microseconds since 1970: the start of the year 2000.
+NOW = 946_684_800_000_000
+DAY = 86_400_000_000
+BLOCK = 64
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _ALL[f.__name__] = (f, sql)
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+
+
+# matrices: A holds the embeddings, the Gram matrix is A times its transpose
+
+_GRAM = f"SELECT a.i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {CELLS_SQL} a JOIN {CELLS_SQL} b ON a.k = b.k GROUP BY a.i, b.i"
+
+
+@query(_GRAM)
+def matmul_gram(spark, sf_dir):
+    a = cells(spark, sf_dir)
+    return linalg.matmul(a, a.select("k", F.col("i").alias("j"), "v"))
+
+
+@query(_GRAM)
+def matmul_blocked(spark, sf_dir):
+    blocks = linalg.to_blocks(whole_rows(spark, sf_dir), 256, BLOCK)
+    return linalg.matmul_blocked(blocks, blocks)
+
+
+def _weights(spark, rows: int, cols: int, a: int, b: int) -> DataFrame:
+    """A fixed matrix by formula: (k, j, v)."""
+    k, j = F.floor(F.col("id") / cols), F.col("id") % cols
+    return spark.range(rows * cols).select(k.cast("int").alias("k"), j.cast("int").alias("j"), ((a * k + b * j) % 11 - 5).alias("v"))
+
+
+def _weights_sql(rows: int, cols: int, a: int, b: int) -> str:
+    return f"(SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, ({a} * k + {b} * j) % 11 - 5 AS v FROM range({rows}) x(k), range({cols}) y(j))"
+
+
+@query(f"SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {CELLS_SQL} a JOIN {_weights_sql(64, 64, 7, 3)} b USING (k) GROUP BY a.i, b.j")
+def matmul_broadcast_strip(spark, sf_dir):
+    return linalg.matmul_strips(cells(spark, sf_dir), _weights(spark, 64, 64, 7, 3))
+
+
+@query(f"SELECT a.i - 128 AS i, b.i - 64 AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {CELLS_SQL} a JOIN {CELLS_SQL} b ON a.k = b.k WHERE a.i >= 128 AND a.i < 192 AND b.i >= 64 AND b.i < 128 GROUP BY a.i, b.i")
+def matmul_tile(spark, sf_dir):
+    a = cells(spark, sf_dir)
+    left = linalg.tile(a, (128, 192), (0, 64))
+    right = linalg.tile(a, (64, 128), (0, 64))
+    return linalg.matmul(left, right.select("k", F.col("i").alias("j"), "v"))
+
+
+@query(f"SELECT i - 96 AS i, k - 8 AS k, v FROM {CELLS_SQL} WHERE i >= 96 AND i < 160 AND k >= 8 AND k < 40")
+def tile_extract(spark, sf_dir):
+    return linalg.tile(cells(spark, sf_dir), (96, 160), (8, 40))
+
+
+_FILTER = [(o, y, x, (5 * o + 3 * y + 2 * x) % 7 - 3) for o in range(2) for y in range(3) for x in range(3)]
+
+
+@query(f"""
+WITH w(oc, fh, fw, w) AS (VALUES {", ".join(map(str, _FILTER))}), img AS (SELECT i AS b, k // 8 AS ih, k % 8 AS iw, v FROM {CELLS_SQL})
+SELECT b, CAST(oc AS INTEGER) AS oc, CAST(ih + 1 - fh AS BIGINT) AS oh, CAST(iw + 1 - fw AS BIGINT) AS ow, CAST(sum(v * w) AS BIGINT) AS v FROM img, w
+WHERE ih + 1 - fh BETWEEN 0 AND 7 AND iw + 1 - fw BETWEEN 0 AND 7 GROUP BY ALL""")
+def conv2d(spark, sf_dir):
+    image = cells(spark, sf_dir).select(F.col("i").alias("b"), F.lit(0).alias("ic"), F.floor(F.col("k") / 8).alias("ih"), (F.col("k") % 8).alias("iw"), "v")
+    weights = spark.createDataFrame([(o, 0, y, x, w) for o, y, x, w in _FILTER], "oc int, ic int, fh int, fw int, w long")
+    return linalg.conv2d(image, weights, 8, 8, 3, stride=1, padding=1)
+
+
+@query(f"""
+WITH h AS (SELECT a.i, b.j AS k, greatest(CAST(sum(a.v * b.v) AS BIGINT) + b.j * 10 - 50, 0) AS v FROM {CELLS_SQL} a JOIN {_weights_sql(64, 16, 7, 3)} b USING (k) GROUP BY a.i, b.j)
+SELECT h.i, b.j AS k, CAST(sum(h.v * b.v) + b.j AS BIGINT) AS v FROM h JOIN {_weights_sql(16, 4, 3, 5)} b USING (k) GROUP BY h.i, b.j""")
+def mlp_relu(spark, sf_dir):
+    hidden = linalg.dense_layer(cells(spark, sf_dir), _weights(spark, 64, 16, 7, 3), F.col("j") * 10 - 50, relu=True)
+    return linalg.dense_layer(hidden, _weights(spark, 16, 4, 3, 5), F.col("j"), relu=False)
+
+
+# maps and partitions
+
+
+@query("SELECT event_id AS idx, CAST(round(value * 100) AS BIGINT) * CAST(round(value * 100) AS BIGINT) AS v FROM events")
+def map_square(spark, sf_dir):
+    return maps.square(_event_values(spark, sf_dir))
+
+
+def _event_values(spark, sf_dir):
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.round(F.col("value") * 100).cast("long").alias("v"))
+
+
+@query("SELECT event_id AS idx, CAST(round(value * 100) AS BIGINT) + user_id AS total, CAST(round(value * 100) AS BIGINT) * user_id AS product FROM events")
+def map_sum_product(spark, sf_dir):
+    return maps.sum_and_product(_event_values(spark, sf_dir), load(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.col("user_id").alias("v")))
+
+
+@query("SELECT range AS idx FROM range(4096)")
+def index_range(spark, sf_dir):
+    return maps.index_range(spark, 4096)
+
+
+@query("SELECT CAST(event_id // 1000 AS BIGINT) AS chunk, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM events GROUP BY 1")
+def partition_by_elements(spark, sf_dir):
+    return maps.partition_by_elements(load(spark, sf_dir, "events"), "event_id", 1000)
+
+
+@query("""WITH t AS (SELECT count(*) * 8 AS total, CAST(ceil(count(*) * 8 / 7) AS BIGINT) AS size FROM events)
+SELECT range AS chunk, least(range * size, total) AS first, least((range + 1) * size, total) - least(range * size, total) AS bytes FROM range(7), t""")
+def partition_by_bytes(spark, sf_dir):
+    return maps.byte_ranges(spark, load(spark, sf_dir, "events").count() * 8, 7)
+
+
+@query("SELECT event_id AS idx, event_id // 256 AS chunk, event_id % 256 AS at, event_id // 256 * 1024 AS byte_offset FROM events")
+def chunk_offsets(spark, sf_dir):
+    i = F.col("event_id")
+    return load(spark, sf_dir, "events").select(i.alias("idx"), F.floor(i / 256).alias("chunk"), (i % 256).alias("at"), (F.floor(i / 256) * 1024).alias("byte_offset"))
+
+
+# sorts
+
+
+@query("SELECT event_id AS idx, CAST(round(value * 100) AS BIGINT) AS v, row_number() OVER (ORDER BY round(value * 100), event_id) AS place FROM events")
+def sort_global_rank(spark, sf_dir):
+    return sorting.global_rank(_event_values(spark, sf_dir), F.asc("v"), F.asc("idx"))
+
+
+@query("SELECT event_id AS idx, CAST(round(value * 100) AS BIGINT) AS v, row_number() OVER (ORDER BY round(value * 100) DESC, event_id DESC) AS place FROM events")
+def sort_desc_rank(spark, sf_dir):
+    return sorting.global_rank(_event_values(spark, sf_dir), F.desc("v"), F.desc("idx"))
+
+
+@query("""SELECT event_id AS idx, event_id // 1024 AS chunk, CAST(row_number() OVER (PARTITION BY event_id // 1024 ORDER BY round(value * 100), event_id) AS INTEGER) AS in_chunk,
+    row_number() OVER (ORDER BY round(value * 100), event_id) AS place FROM events""")
+def sort_chunks_then_merge(spark, sf_dir):
+    local = sorting.rank_in_chunks(_event_values(spark, sf_dir).withColumn("chunk", F.floor(F.col("idx") / 1024)), F.col("chunk"), F.asc("v"), F.asc("idx"), name="in_chunk")
+    return sorting.global_rank(local, F.asc("v"), F.asc("idx")).select("idx", "chunk", "in_chunk", "place")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY l_extendedprice DESC) AS INTEGER) AS place, l_extendedprice AS price FROM (SELECT l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC LIMIT 20)")
+def topk_price(spark, sf_dir):
+    return sorting.top_k(load(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("price")), 20, F.desc("price")).select("place", "price")
+
+
+@query("""WITH d AS (SELECT event_type, round(value * 100) < lag(round(value * 100)) OVER (PARTITION BY event_type ORDER BY event_id) AS down FROM events)
+SELECT event_type, count(*) AS n, CAST(count(*) FILTER (down) AS BIGINT) AS descents, count(*) & (count(*) - 1) = 0 AS power_of_two FROM d GROUP BY event_type""")
+def bitonic_order_check(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_type", "event_id", F.round(F.col("value") * 100).alias("v"))
+    return sorting.descents(e, "event_type", "event_id", "v")
+
+
+# assembly
+
+
+@query(f"SELECT parent, string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY chunk) AS joined FROM {CHUNKS_SQL} GROUP BY parent")
+def ordered_concat(spark, sf_dir):
+    return assembly.ordered_concat(chunks(spark, sf_dir), ["parent"], "chunk", "chunk")
+
+
+@query(f"SELECT parent, status, string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY chunk) AS joined FROM {CHUNKS_SQL} GROUP BY parent, status")
+def ordered_concat_multi(spark, sf_dir):
+    return assembly.ordered_concat(chunks(spark, sf_dir), ["parent", "status"], "chunk", "chunk")
+
+
+@query("SELECT c_custkey AS id, coalesce(TRY_CAST(nullif(regexp_extract(c_name, '([0-9]+)$', 1), '') AS BIGINT), 0) AS number FROM customer")
+def chunk_id_numeric_order(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), assembly.numeric_suffix(F.col("c_name")).alias("number"))
+
+
+#: Partial products that came: of each order line its block row, block column and step.
+_PARTS_SQL = "(SELECT l_partkey % 20 AS bi, l_suppkey % 20 AS bj, l_linenumber AS bk FROM lineitem)"
+
+
+def _parts(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 20).alias("bi"), (F.col("l_suppkey") % 20).alias("bj"), F.col("l_linenumber").alias("bk"))
+
+
+@query(f"SELECT bi, bj, count(DISTINCT bk) AS have, min(bk) AS first, max(bk) AS last, count(DISTINCT bk) = 7 AS complete FROM {_PARTS_SQL} GROUP BY bi, bj")
+def block_completeness(spark, sf_dir):
+    return assembly.completeness(_parts(spark, sf_dir), 7)
+
+
+@query(f"SELECT range AS chunk FROM range((SELECT max(o_orderkey) + 1 FROM orders)) WHERE range NOT IN (SELECT chunk FROM {CHUNKS_SQL} WHERE status = 'F')")
+def missing_chunks(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return assembly.missing(spark.range(c.agg(F.max("chunk")).first()[0] + 1).select(F.col("id").alias("chunk")), c.where("status = 'F'"), ["chunk"])
+
+
+@query(f"""SELECT bi, bj, CAST(bk AS INTEGER) AS bk FROM (SELECT range AS bi FROM range(20)), (SELECT range AS bj FROM range(20)), (SELECT range AS bk FROM range(9)) WHERE (bi, bj, bk) NOT IN (SELECT bi, bj, bk FROM {_PARTS_SQL})""")
+def missing_k(spark, sf_dir):
+    grid = spark.range(20 * 20 * 9).select(F.floor(F.col("id") / 180).alias("bi"), (F.floor(F.col("id") / 9) % 20).alias("bj"), (F.col("id") % 9).cast("int").alias("bk"))
+    return assembly.missing(grid, _parts(spark, sf_dir), ["bi", "bj", "bk"])
+
+
+@query(f"SELECT parent, CAST(count(*) FILTER (status = 'F') AS BIGINT) AS done, count(*) AS total, CAST(count(*) FILTER (status = 'F') * 100 // count(*) AS BIGINT) AS percent FROM {CHUNKS_SQL} GROUP BY parent")
+def progress_pct(spark, sf_dir):
+    return assembly.progress(chunks(spark, sf_dir), "parent", F.col("status") == "F")
+
+
+@query(f"SELECT chunk, sha256(string_agg(payload, '' ORDER BY seq)) AS hash FROM {SUBMISSIONS_SQL} GROUP BY chunk")
+def result_hash(spark, sf_dir):
+    from gridloom.functions.hashing import outputs_hash
+
+    return outputs_hash(submissions(spark, sf_dir), "chunk", "seq", "payload")
+
+
+# votes
+
+_VALID = f"(SELECT * FROM {SUBMISSIONS_SQL} WHERE server_hash = reported_hash)"
+
+
+@query(f"SELECT chunk, server_hash, count(DISTINCT client) AS votes, min(seq) AS first_seq FROM {_VALID} GROUP BY chunk, server_hash")
+def quorum_votes(spark, sf_dir):
+    return quorum.votes(submissions(spark, sf_dir))
+
+
+@query(f"""SELECT chunk, server_hash, votes, first_seq FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY votes DESC, first_seq) AS r FROM (
+    SELECT chunk, server_hash, count(DISTINCT client) AS votes, min(seq) AS first_seq FROM {_VALID} GROUP BY chunk, server_hash HAVING count(DISTINCT client) >= 2)) WHERE r = 1""")
+def quorum_winner(spark, sf_dir):
+    return quorum.winners(submissions(spark, sf_dir), 2)
+
+
+@query(f"""WITH f AS (SELECT chunk, server_hash, client, min(seq) AS seq FROM {_VALID} GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY chunk, server_hash ORDER BY seq) AS n FROM f)
+SELECT chunk, server_hash, decided_at FROM (SELECT chunk, server_hash, seq AS decided_at, row_number() OVER (PARTITION BY chunk ORDER BY seq) AS r FROM n WHERE n = 2) WHERE r = 1""")
+def quorum_first_to_k(spark, sf_dir):
+    return quorum.first_to_k(submissions(spark, sf_dir), 2)
+
+
+@query(f"SELECT chunk, client, server_hash, min(seq) AS seq, count(*) AS times FROM {SUBMISSIONS_SQL} GROUP BY chunk, client, server_hash")
+def submission_dedup(spark, sf_dir):
+    return quorum.deduplicated(submissions(spark, sf_dir))
+
+
+# telemetry and timing
+
+_STEPS = f"(SELECT *, coalesce((lag(power) OVER w + power) * (us - lag(us) OVER w), 0) AS area FROM {SAMPLES_SQL} WINDOW w AS (PARTITION BY session ORDER BY us, sample))"
+
+
+@query(f"""SELECT session, count(*) AS samples, max(us) - min(us) AS span, CAST(sum(area) AS BIGINT) AS twice_energy, max(power) AS peak,
+    CAST(CASE WHEN max(us) > min(us) THEN floor(CAST(CAST(sum(area) AS BIGINT) AS DOUBLE) / (max(us) - min(us)) / 2) ELSE 0 END AS BIGINT) AS mean_power FROM {_STEPS} GROUP BY session""")
+def energy_by_session(spark, sf_dir):
+    return telemetry.energy(samples(spark, sf_dir))
+
+
+@query(f"SELECT session, process, CAST(sum(area) AS BIGINT) AS twice_energy, CAST(floor(CAST(sum(power) AS DOUBLE) / count(*)) AS BIGINT) AS mean_power, count(*) AS samples FROM {_STEPS} GROUP BY session, process")
+def energy_by_process(spark, sf_dir):
+    return telemetry.energy_by_process(samples(spark, sf_dir))
+
+
+@query(f"SELECT process, count(*) AS n, round(CAST(sum(power) AS DOUBLE) / count(*), 4) AS mean, round(quantile_cont(CAST(power AS DOUBLE), 0.95), 4) AS p95, max(power) AS peak FROM {SAMPLES_SQL} GROUP BY process")
+def util_summary(spark, sf_dir):
+    return telemetry.summary(samples(spark, sf_dir), "process")
+
+
+@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us, sample) AS a, row_number() OVER (PARTITION BY session ORDER BY us DESC, sample DESC) AS z FROM {SAMPLES_SQL})
+SELECT session, 'head' AS part, CAST(a AS INTEGER) AS at, sample, power FROM p WHERE a <= 3 UNION ALL SELECT session, 'tail', CAST(z AS INTEGER), sample, power FROM p WHERE z <= 3""")
+def samples_head_tail(spark, sf_dir):
+    return telemetry.head_and_tail(samples(spark, sf_dir))
+
+
+@query(f"SELECT session, sample, us - min(us) OVER (PARTITION BY session) AS since FROM {SAMPLES_SQL}")
+def time_since_start(spark, sf_dir):
+    return telemetry.since_start(samples(spark, sf_dir))
+
+
+#: Chunk times in hundredths: of an order line its price parts; null where the line was returned.
+_TIMES_SQL = """(SELECT l_orderkey AS job, 100000000 AS total, CAST(round(l_quantity * 100) AS BIGINT) AS chunking, CASE WHEN l_returnflag <> 'R' THEN CAST(round(l_extendedprice) AS BIGINT) END AS assembly,
+    CASE WHEN l_linestatus = 'F' THEN CAST(round(l_discount * 100) AS BIGINT) END AS client FROM lineitem)"""
+
+
+def _times(spark, sf_dir):
+    long = lambda c: F.round(c).cast("long")
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.lit(100_000_000).alias("total"), long(F.col("l_quantity") * 100).alias("chunking"), F.when(F.col("l_returnflag") != "R", long(F.col("l_extendedprice"))).alias("assembly"), F.when(F.col("l_linestatus") == "F", long(F.col("l_discount") * 100)).alias("client"))
+
+
+@query(f"""SELECT job, count(*) AS chunks, max(total) AS total, CAST(sum(coalesce(chunking, 0)) AS BIGINT) AS chunking, CAST(sum(coalesce(assembly, 0)) AS BIGINT) AS assembly, CAST(sum(coalesce(client, 0)) AS BIGINT) AS client,
+    CAST(max(total) - sum(coalesce(chunking, 0)) - sum(coalesce(assembly, 0)) - sum(coalesce(client, 0)) AS BIGINT) AS communication FROM {_TIMES_SQL} GROUP BY job""")
+def timing_breakdown(spark, sf_dir):
+    return timing.breakdown(_times(spark, sf_dir), "job", "total", ["chunking", "assembly", "client"])
+
+
+@query(f"SELECT job, count(*) AS chunks, CAST(sum(coalesce(chunking, 0)) AS DOUBLE) / count(*) AS chunking, CAST(sum(coalesce(assembly, 0)) AS DOUBLE) / count(*) AS assembly, CAST(sum(coalesce(client, 0)) AS DOUBLE) / count(*) AS client FROM {_TIMES_SQL} GROUP BY job")
+def timing_averages_null_as_zero(spark, sf_dir):
+    return timing.means_null_as_zero(_times(spark, sf_dir), "job", ["chunking", "assembly", "client"])
+
+
+# workers and queues
+
+
+def _workers(spark, sf_dir):
+    """client, frameworks: a customer's segment, and a second one by its nation."""
+    second = F.element_at(F.array(*[F.lit(x) for x in PRIORITIES]), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    first = F.element_at(F.array(*[F.lit(x) for x in PRIORITIES]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client"), F.array_distinct(F.array(first, second)).alias("frameworks"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_LIST = "[" + ", ".join(f"'{x}'" for x in PRIORITIES) + "]"
+_WORKERS_SQL = f"(SELECT c_custkey AS client, list_distinct([{_LIST}[c_custkey % 5 + 1], {_LIST}[c_nationkey % 5 + 1]]) AS frameworks FROM customer)"
+_ABLE_SQL = f"(SELECT client, unnest(frameworks) AS framework FROM {_WORKERS_SQL})"
+
+
+@query(f"""WITH s AS (SELECT client, framework, row_number() OVER (PARTITION BY framework ORDER BY client) - 1 AS seat, count(*) OVER (PARTITION BY framework) AS n FROM {_ABLE_SQL})
+SELECT s.client, c.chunk, c.framework FROM {CHUNKS_SQL} c JOIN s ON c.framework = s.framework AND c.chunk % s.n = s.seat WHERE c.status = 'O'""")
+def match_workers(spark, sf_dir):
+    return control.match_workers(_workers(spark, sf_dir), chunks(spark, sf_dir).where("status = 'O'"))
+
+
+_DISPATCHES_SQL = "(SELECT l_orderkey AS chunk, l_suppkey AS client FROM lineitem)"
+
+
+def _dispatches(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_suppkey").alias("client"))
+
+
+@query(f"""SELECT c.parent, c.chunk, c.status, c.created, c.framework, coalesce(d.sent, 0) AS sent FROM {CHUNKS_SQL} c LEFT JOIN (SELECT chunk, count(DISTINCT client) AS sent FROM {_DISPATCHES_SQL} GROUP BY chunk) d USING (chunk)
+WHERE c.status <> 'F' AND coalesce(d.sent, 0) < 4""")
+def eligible_chunks(spark, sf_dir):
+    return control.eligible(chunks(spark, sf_dir), _dispatches(spark, sf_dir), 4, F.col("status") == "F").select("parent", "chunk", "status", "created", "framework", "sent")
+
+
+@query(f"SELECT c.parent % 50 AS client, c.chunk FROM {CHUNKS_SQL} c WHERE (c.parent % 50, c.chunk) NOT IN (SELECT client, chunk FROM {_DISPATCHES_SQL})")
+def unassigned_pairs(spark, sf_dir):
+    return control.unassigned(chunks(spark, sf_dir).select((F.col("parent") % 50).alias("client"), "chunk"), _dispatches(spark, sf_dir))
+
+
+@query(f"SELECT d.chunk, d.client, count(*) AS times FROM {_DISPATCHES_SQL} d WHERE d.client IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY ALL")
+def open_of_gone_workers(spark, sf_dir):
+    gone = load(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("client"))
+    return control.open_of_gone(_dispatches(spark, sf_dir), gone).groupBy("chunk", "client").agg(F.count("*").alias("times"))
+
+
+@query(f"""SELECT c_custkey AS parent, coalesce(p.total, 0) AS total, coalesce(p.done, 0) AS done, n_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT parent, count(*) AS total, CAST(count(*) FILTER (status = 'F') AS BIGINT) AS done FROM {CHUNKS_SQL} GROUP BY parent) p ON p.parent = c_custkey""")
+def workload_status_left(spark, sf_dir):
+    done = assembly.progress(chunks(spark, sf_dir), "parent", F.col("status") == "F").select("parent", "total", "done")
+    jobs = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parent"), F.col("c_nationkey").alias("n_nationkey")).join(load(spark, sf_dir, "nation"), "n_nationkey", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return jobs.join(done, "parent", "left").select("parent", zero("total"), zero("done"), F.col("n_name").alias("region"))
+
+
+@query(f"""SELECT f.framework, coalesce(w.clients, 0) AS clients, coalesce(c.active, 0) AS active, coalesce(c.completed, 0) AS completed FROM (SELECT unnest({_LIST}) AS framework) f
+LEFT JOIN (SELECT framework, count(*) AS clients FROM {_ABLE_SQL} GROUP BY framework) w USING (framework)
+LEFT JOIN (SELECT framework, CAST(count(*) FILTER (status <> 'F') AS BIGINT) AS active, CAST(count(*) FILTER (status = 'F') AS BIGINT) AS completed FROM {CHUNKS_SQL} GROUP BY framework) c USING (framework)""")
+def framework_stats(spark, sf_dir):
+    known = spark.createDataFrame([(x,) for x in PRIORITIES], "framework string")
+    clients = _workers(spark, sf_dir).select(F.explode("frameworks").alias("framework")).groupBy("framework").agg(F.count("*").alias("clients"))
+    work = chunks(spark, sf_dir).groupBy("framework").agg(F.count_if(F.col("status") != "F").alias("active"), F.count_if(F.col("status") == "F").alias("completed"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return known.join(clients, "framework", "left").join(work, "framework", "left").select("framework", zero("clients"), zero("active"), zero("completed"))
+
+
+@query("SELECT c_mktsegment AS transport, c_nationkey AS kind, count(*) AS clients, CAST(count(*) FILTER (c_acctbal < 0) AS BIGINT) AS busy FROM customer GROUP BY ALL")
+def client_stats(spark, sf_dir):
+    return load(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("transport"), F.col("c_nationkey").alias("kind")).agg(F.count("*").alias("clients"), F.count_if(F.col("c_acctbal") < 0).alias("busy"))
+
+
+@query(f"SELECT parent, CAST(count(*) FILTER (status = 'F') AS BIGINT) AS finished, CAST(count(*) FILTER (status = 'O') AS BIGINT) AS open, CAST(count(*) FILTER (status = 'P') AS BIGINT) AS dispatched FROM {CHUNKS_SQL} GROUP BY parent")
+def status_pivot(spark, sf_dir):
+    wide_ = chunks(spark, sf_dir).groupBy("parent").pivot("status", ["F", "O", "P"]).count()
+    zero = lambda c, name: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(name)
+    return wide_.select("parent", zero("F", "finished"), zero("O", "open"), zero("P", "dispatched"))
+
+
+@query(f"""SELECT parent, count(*) AS size, CAST(floor(max({NOW} - created) / 1000000) AS BIGINT) AS oldest_age, CAST(floor(CAST(sum({NOW} - created) AS DOUBLE) / count(*) / 1000000) AS BIGINT) AS mean_age
+FROM {CHUNKS_SQL} WHERE status = 'O' GROUP BY parent""")
+def queue_stats(spark, sf_dir):
+    return control.queue_statistics(chunks(spark, sf_dir).where("status = 'O'"), "parent", "created", NOW)
+
+
+@query(f"""SELECT parent, CAST(count(*) FILTER (status = 'P') AS BIGINT) AS failed, count(*) AS counted, CAST(count(*) FILTER (status = 'P') * 100 // count(*) AS BIGINT) AS percent,
+    count(*) FILTER (status = 'P') * 2 > count(*) AND count(*) FILTER (status = 'P') > 10 AS abort FROM {CHUNKS_SQL} GROUP BY parent""")
+def failure_rate(spark, sf_dir):
+    return control.failure_rate(chunks(spark, sf_dir), "parent", F.col("status") == "P", F.lit(True)).withColumn("percent", F.col("percent").cast("long"))
+
+
+@query("SELECT source AS status, count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def bytes_by_status(spark, sf_dir):
+    return load(spark, sf_dir, "documents").groupBy(F.col("source").alias("status")).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query(f"""WITH q AS (SELECT parent, min(created) AS oldest, count(*) AS size FROM {CHUNKS_SQL} WHERE status = 'O' GROUP BY parent)
+SELECT parent, oldest, size, row_number() OVER (ORDER BY oldest, parent) AS place FROM q""")
+def queue_priority(spark, sf_dir):
+    queues = chunks(spark, sf_dir).where("status = 'O'").groupBy("parent").agg(F.min("created").alias("oldest"), F.count("*").alias("size"))
+    return sorting.global_rank(queues, F.asc("oldest"), F.asc("parent"))
+
+
+@query(f"SELECT parent, chunk, CAST(position AS INTEGER) AS position FROM (SELECT parent, chunk, row_number() OVER (PARTITION BY parent ORDER BY created, chunk) AS position FROM {CHUNKS_SQL} WHERE status = 'O') WHERE position <= 5")
+def dispatch_max5(spark, sf_dir):
+    return control.queue_positions(chunks(spark, sf_dir).where("status = 'O'"), "parent", ["created", "chunk"]).where("position <= 5").select("parent", "chunk", "position")
+
+
+@query(f"""SELECT parent, chunk, CAST(position AS INTEGER) AS position, size FROM (SELECT parent, chunk, row_number() OVER (PARTITION BY parent ORDER BY created, chunk) AS position, count(*) OVER (PARTITION BY parent) AS size FROM {CHUNKS_SQL})
+WHERE size >= 10 AND position <= ceil(size * 10 / 100)""")
+def evict_oldest_10pct(spark, sf_dir):
+    return control.evict_oldest(chunks(spark, sf_dir), "parent", ["created", "chunk"], cap=10).select("parent", "chunk", "position", "size")
+
+
+@query(f"SELECT parent, chunk, created FROM {CHUNKS_SQL} WHERE NOT (status = 'F' AND {NOW} - created > {900 * DAY})")
+def retention(spark, sf_dir):
+    work = chunks(spark, sf_dir)
+    old = control.expired(work.where("status = 'F'"), "created", NOW, 900 * DAY)
+    return work.join(old.select("chunk"), "chunk", "left_anti").select("parent", "chunk", "created")
+
+
+@query(f"SELECT parent, chunk, {NOW} - created - {30 * DAY} AS over FROM {CHUNKS_SQL} WHERE status = 'P' AND {NOW} - created > {30 * DAY}")
+def timeouts(spark, sf_dir):
+    return control.expired(chunks(spark, sf_dir).where("status = 'P'"), "created", NOW, 30 * DAY).select("parent", "chunk", "over")
+
+
+@query(f"SELECT parent, max(created) AS last_seen, count(*) AS open FROM {CHUNKS_SQL} WHERE status <> 'F' GROUP BY parent HAVING {NOW} - max(created) > {365 * DAY}")
+def stalled(spark, sf_dir):
+    last = chunks(spark, sf_dir).where("status <> 'F'").groupBy("parent").agg(F.max("created").alias("last_seen"), F.count("*").alias("open"))
+    return control.expired(last, "last_seen", NOW, 365 * DAY).select("parent", "last_seen", "open")
+
+
+_GAP = 6 * 3_600_000_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id AS event, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT user_id, event_type, event, us, r, us AS last, TRUE AS kept FROM e WHERE r = 1
+    UNION ALL SELECT e.user_id, e.event_type, e.event, e.us, e.r, CASE WHEN e.us - w.last >= {_GAP} THEN e.us ELSE w.last END, e.us - w.last >= {_GAP}
+    FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.r = w.r + 1)
+SELECT user_id, event_type, event, us FROM w WHERE kept""")
+def dedup_after_accepted(spark, sf_dir):
+    events = load(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("event"), F.expr(micros("ts")).alias("us"))
+    return incremental.deduplicated(events, ["user_id", "event_type"], _GAP)
+
+
+@query("""WITH f AS (SELECT l_orderkey AS schema_id, CASE WHEN l_returnflag = 'N' THEN 'input' ELSE 'output' END AS kind, CAST(l_suppkey AS VARCHAR) AS name, l_linenumber AS binding FROM lineitem),
+c AS (SELECT schema_id, count(*) FILTER (kind = 'input') AS i, count(*) FILTER (kind = 'output') AS o, count(*) AS n, count(DISTINCT name) AS nn, count(DISTINCT binding) AS nb FROM f GROUP BY schema_id)
+SELECT schema_id, 'too many inputs' AS violation FROM c WHERE i > 4 UNION ALL SELECT schema_id, 'too many outputs' FROM c WHERE o > 3 UNION ALL SELECT schema_id, 'no input' FROM c WHERE i = 0
+UNION ALL SELECT schema_id, 'names repeat' FROM c WHERE nn < n UNION ALL SELECT schema_id, 'bindings repeat' FROM c WHERE nb < n""")
+def schema_violations(spark, sf_dir):
+    fields = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("schema_id"), F.when(F.col("l_returnflag") == "N", "input").otherwise("output").alias("kind"), F.col("l_suppkey").cast("string").alias("name"), F.col("l_linenumber").alias("binding"))
+    return control.schema_violations(fields)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) <> 0")
+def param_extract(spark, sf_dir):
+    found = load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return found.where(F.coalesce("k", F.lit(0)) != 0)
+
+
+@query("""SELECT event_id, 'a' AS name, base64(encode(event_type)) AS data, octet_length(encode(event_type)) AS size FROM events
+UNION ALL SELECT event_id, 'b', base64(encode(props)), octet_length(encode(props)) FROM events""")
+def multi_input_json(spark, sf_dir):
+    b64 = lambda c: F.base64(F.encode(c, "utf-8"))
+    payloads = load(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(b64(F.col("event_type")).alias("a"), b64(F.col("props")).alias("b"))).alias("payload"))
+    return records.multi_inputs(payloads).select("event_id", "name", "data", F.octet_length("bytes").cast("long").alias("size"))
+
+
+# number theory
+
+ECM_N = 1_000_003 * 1_000_033
+
+
+@query("""WITH n AS (SELECT range AS p FROM range(2, 50001)), d AS (SELECT range AS d FROM range(2, 224)),
+primes AS (SELECT p FROM n ANTI JOIN (SELECT DISTINCT d * m AS p FROM d, range(2, 25001) r(m) WHERE d * m <= 50000) c USING (p)),
+pw AS (SELECT p, max(q) AS q FROM (SELECT p, CAST(pow(p, e) AS BIGINT) AS q FROM primes, range(1, 16) x(e) WHERE pow(p, e) <= 50000) GROUP BY p)
+SELECT p, q FROM pw""")
+def prime_powers(spark, sf_dir):
+    return wide.prime_powers(spark, 50_000)
+
+
+@query("SELECT range AS counter, sha256(unhex(lpad(printf('%X', range), 16, '0')) || encode('ecm:fixture')) AS digest FROM range(1000)")
+def drbg_stream(spark, sf_dir):
+    return wide.byte_stream(spark, "ecm:fixture", 1000)
+
+
+@query("""WITH RECURSIVE g AS (SELECT 0 AS n, CAST((9301 * 42 + 49297) % 233280 AS BIGINT) AS v UNION ALL SELECT n + 1, (9301 * v + 49297) % 233280 FROM g WHERE n < 32 * 32 - 1)
+SELECT CAST(n // 32 AS BIGINT) AS i, CAST(n % 32 AS BIGINT) AS k, v FROM g""")
+def lcg_matrix(spark, sf_dir):
+    return wide.lcg_matrix(spark, 32, 42)
+
+
+def _powers(spark, bound: int) -> list[int]:
+    return [r["q"] for r in wide.prime_powers(spark, bound).orderBy("p").collect()]  # a parameter: as many as primes
+
+
+@query()
+def ecm_stage1(spark, sf_dir):
+    return wide.stage_one(wide.random_curves(spark, "ecm:fixture", ECM_N, 32).repartition(8), ECM_N, _powers(spark, 200))
+
+
+@query()
+def ecm_first_factor(spark, sf_dir):
+    return wide.first_factor(spark, "ecm:fixture", ECM_N, _powers(spark, 200), 32, wave=16)
+
+
+# codecs, custom functions, streams
+
+
+@query("SELECT 'A' AS mat, i, k, CAST(v AS FLOAT) AS v FROM (SELECT vec_id AS i, unnest(embedding) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS k FROM embeddings)")
+def binary_roundtrip(spark, sf_dir):
+    flat = load(spark, sf_dir, "embeddings").select(F.lit("A").alias("mat"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("k", "v"))
+    return dense.decode_rows(dense.encode_rows(flat))
+
+
+@query("SELECT event_id, range AS part, least(range * 3 + 3, length(props)) - range * 3 AS size FROM events, range(40) WHERE range * 3 < length(props)")
+def custom_udtf(spark, sf_dir):
+    """A custom chunking as a table function: texts in parts of three characters."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="part long, size long")
+    class Chunks:
+        def eval(self, length: int):
+            for i in range(0, length, 3):
+                yield i // 3, min(3, length - i)
+
+    sized = load(spark, sf_dir, "events").select("event_id", F.length("props").alias("n"))
+    return sized.lateralJoin(Chunks(F.col("n").outer())).select("event_id", "part", "size")
+
+
+@query(f"SELECT process, CAST(sum(power * (CASE WHEN session % 2 = 0 THEN 1 ELSE -1 END)) AS DOUBLE) AS v FROM {SAMPLES_SQL} GROUP BY process")
+def custom_udaf(spark, sf_dir):
+    """A custom assembly as an aggregate function: an alternating sum, in partial sums by session first."""
+    @F.pandas_udf("double")
+    def alternating(power: pd.Series, session: pd.Series) -> float:
+        return float((power * (1 - 2 * (session % 2))).sum())
+
+    partial = samples(spark, sf_dir).groupBy("process", "session").agg(F.sum("power").alias("power"))
+    return partial.groupBy("process").agg(alternating("power", "session").alias("v"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, shape: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a streaming query over a table's files has given when it has read all of them."""
+    table = load(spark, sf_dir, name)
+    file = f"{name}.parquet"
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 16)
+    # a table may be one file, and a stream reads folders only
+    alone = all(x.endswith(f"/{file}") for x in table.inputFiles())
+    stream = reader.option("pathGlobFilter", file).parquet(sf_dir) if alone else reader.parquet(f"{sf_dir}/{file}")
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/result")
+    shape(stream).writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/result")
+
+
+@query(f"SELECT bi AS i, bj AS j, CAST(sum(bk) AS BIGINT) AS v, count(*) AS have, count(*) = 7 AS complete FROM {_PARTS_SQL} GROUP BY bi, bj")
+def stream_block_sum(spark, sf_dir):
+    parts = lambda s: s.select((F.col("l_partkey") % 20).alias("i"), (F.col("l_suppkey") % 20).alias("j"), F.col("l_linenumber").alias("v"))
+    return _streamed(spark, sf_dir, "lineitem", lambda s: incremental.block_sums(parts(s), 7), "complete")
+
+
+@query(f"SELECT session, min(us) AS first, max(us) AS last, count(*) AS samples, max(power) AS peak FROM {SAMPLES_SQL} GROUP BY session")
+def stream_sessions(spark, sf_dir):
+    shaped = lambda s: s.select(F.col("user_id").alias("session"), F.expr(micros("ts")).alias("us"), F.round(F.col("value") * 100).cast("long").alias("power"))
+    return _streamed(spark, sf_dir, "events", lambda s: incremental.sessions(shaped(s)), "complete")

@@ -1 +1 @@
-
+"""Hashes, wide integers, number theory."""

@@ -1 +1 @@
-
+"""Relational and numeric operators."""

@@ -1 +1 @@
-
+"""Registries of user functions and readiness reports."""

@@ -1 +1 @@
-
+"""Readers and writers of dense binary files and record files."""

@@ -1 +1 @@
-
+"""Incremental and stateful forms."""
