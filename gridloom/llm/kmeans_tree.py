@@ -35,7 +35,7 @@ LEAF_VECTORS = 160
 CALIBRATION_QUERIES = 128
 RECALL = 0.97
 #: Vectors of a leaf that one task holds at once, about.
-PART_VECTORS = 4096
+PART_VECTORS = 1024
 
 
 @dataclass
