@@ -577,3 +577,58 @@ def stream_block_sum(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     shaped = lambda s: s.select(F.col("user_id").alias("session"), F.expr(micros("ts")).alias("us"), F.round(F.col("value") * 100).cast("long").alias("power"))
     return _streamed(spark, sf_dir, "events", lambda s: incremental.sessions(shaped(s)), "complete")
+
+
+# the rest of the control plane
+
+
+@query("SELECT c_custkey AS client, c_mktsegment AS transport FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def available_workers(spark, sf_dir):
+    workers = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client"), F.col("c_mktsegment").alias("transport"), "c_acctbal")
+    return control.available(workers, chunks(spark, sf_dir).where("status = 'P'").select(F.col("parent").alias("client")), F.col("c_acctbal") >= 0).select("client", "transport")
+
+
+@query("""WITH d AS (SELECT l_orderkey AS id, list(l_linenumber) AS inputs, list(CAST(l_quantity AS INTEGER) - 3) FILTER (l_tax > 0.01) AS sizes FROM lineitem GROUP BY l_orderkey), e AS (SELECT id, inputs, coalesce(sizes, []) AS sizes FROM d)
+SELECT id, 'too many inputs' AS violation FROM e WHERE len(inputs) > 4 UNION ALL SELECT id, 'no output' FROM e WHERE len(sizes) = 0 UNION ALL SELECT id, 'lengths differ' FROM e WHERE len(inputs) <> len(sizes)
+UNION ALL SELECT id, 'size not positive' FROM e WHERE len(list_filter(sizes, lambda x: x <= 0)) > 0""")
+def descriptor_violations(spark, sf_dir):
+    sizes = F.filter(F.collect_list(F.when(F.col("l_tax") > 0.01, F.col("l_quantity").cast("int") - 3)), lambda x: x.isNotNull())
+    return control.descriptor_violations(load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_linenumber").alias("inputs"), sizes.alias("sizes")))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'type=' || event_type || ',k=' || CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE 'type=' || event_type || ',k=none' END AS settings FROM events")
+def merged_settings(spark, sf_dir):
+    left = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.lit("none"))
+    right = F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("k"), F.from_json("props", "k string")["k"])).otherwise(F.expr("CAST(map() AS map<string,string>)"))
+    m = control.merged_settings(left, right)
+    return load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("type="), m["type"], F.lit(",k="), m["k"]).alias("settings"))
+
+
+@query("SELECT o_orderkey AS chunk, CASE WHEN CAST(round(o_totalprice) AS BIGINT) * 4 <= 200000 THEN 'memory' WHEN CAST(round(o_totalprice) AS BIGINT) <= 200000 THEN 'spill' ELSE 'files' END AS plan FROM orders")
+def memory_plan(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk"), control.memory_plan(F.round("o_totalprice").cast("long"), 200_000).alias("plan"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN lower(p_brand) WHEN contains(lower(p_name), 'conv') THEN 'convolution' WHEN contains(lower(p_name), 'matrix') THEN 'matmul' WHEN contains(lower(p_name), 'sort') THEN 'sort' WHEN contains(lower(p_name), 'ecm') THEN 'ecm' ELSE 'unknown' END AS kind FROM part")
+def kernel_kind(spark, sf_dir):
+    declared = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise("")
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), control.kernel_kind(declared, F.col("p_name")).alias("kind"))
+
+
+@query(f"SELECT parent, chunk, status FROM {CHUNKS_SQL} UNION ALL SELECT c_custkey, -c_custkey, 'O' FROM customer")
+def append_chunks(spark, sf_dir):
+    fresh = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parent"), (-F.col("c_custkey")).alias("chunk"), F.lit("O").alias("status"))
+    return chunks(spark, sf_dir).select("parent", "chunk", "status").unionByName(fresh)
+
+
+@query("SELECT l_orderkey AS id, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS total, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_orderkey")
+def output_summary(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("total"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+
+
+@query()
+def matrix_rows_hash(spark, sf_dir):
+    """SHA-256 of each row's 32-bit floats, low byte first."""
+    from gridloom.functions.hashing import floats_to_bytes
+
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.sha2(floats_to_bytes("embedding"), 256).alias("hash"))

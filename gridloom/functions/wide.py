@@ -114,3 +114,24 @@ def first_factor(spark: SparkSession, seed: str, n: int, powers: list[int], coun
         if hits:
             return spark.createDataFrame(hits, "curve long, result string, status int")
     return spark.createDataFrame([], "curve long, result string, status int")
+
+
+def pack_u256(x: int) -> bytes:
+    """32 bytes, low limb first."""
+    return x.to_bytes(32, "little")
+
+
+def unpack_u256(data: bytes) -> int:
+    return int.from_bytes(data[:32], "little")
+
+
+def montgomery_constants(n: int) -> dict[str, int]:
+    """For an odd modulus: R and R*R mod n for R = 2**256, and -1/n mod 2**32."""
+    r = (1 << 256) % n
+    return {"n": n, "r": r, "r2": r * r % n, "n0inv": -pow(n, -1, 1 << 32) % (1 << 32)}
+
+
+def constants_buffer(n: int) -> bytes:
+    """The 112-byte parameter block: n, r2, r, the inverse and three words of padding."""
+    c = montgomery_constants(n)
+    return b"".join(pack_u256(c[k]) for k in ("n", "r2", "r")) + c["n0inv"].to_bytes(4, "little") + bytes(12)

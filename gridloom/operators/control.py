@@ -73,3 +73,36 @@ def schema_violations(fields: DataFrame, max_inputs: int = 4, max_outputs: int =
         F.when(F.col("inputs") == 0, "no input"), F.when(F.col("names") < F.col("n"), "names repeat"), F.when(F.col("bindings") < F.col("n"), "bindings repeat"),
     )
     return counts.select("schema_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("violation"))
+
+
+def available(workers: DataFrame, busy: DataFrame, connected: Column) -> DataFrame:
+    """Workers that are connected and have no open work."""
+    return workers.where(connected).join(busy.select("client").distinct(), "client", "left_anti")
+
+
+def descriptor_violations(descriptors: DataFrame, max_inputs: int = 4) -> DataFrame:
+    """descriptors(id, inputs array, sizes array): one row for each broken rule."""
+    found = F.array(
+        F.when(F.size("inputs") > max_inputs, "too many inputs"), F.when(F.size("sizes") == 0, "no output"),
+        F.when(F.size("inputs") != F.size("sizes"), "lengths differ"), F.when(~F.forall("sizes", lambda x: x > 0), "size not positive"),
+    )
+    return descriptors.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("violation"))
+
+
+def merged_settings(left: Column, right: Column) -> Column:
+    """Two maps as one; where both have a key the right one's value stands."""
+    only_left = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))
+    return F.map_concat(only_left, right)
+
+
+def memory_plan(bytes_: Column, limit: int) -> Column:
+    """Where a result of this size is kept: in memory, in memory with spill, or in files."""
+    return F.when(bytes_ * 4 <= limit, "memory").when(bytes_ <= limit, "spill").otherwise("files")
+
+
+def kernel_kind(kind: Column, source: Column) -> Column:
+    """The declared kind, else the first known word in the source, in this order."""
+    guess = F.lit("unknown")
+    for word, name in reversed([("conv", "convolution"), ("matrix", "matmul"), ("sort", "sort"), ("ecm", "ecm")]):
+        guess = F.when(F.lower(source).contains(word), name).otherwise(guess)
+    return F.coalesce(F.when(kind != "", F.lower(kind)), guess)

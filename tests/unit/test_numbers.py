@@ -136,3 +136,28 @@ def test_registry(spark):
     with pytest.raises(KeyError):
         r.get("chunking", "none")
     assert r.listing(spark).count() == 3
+
+
+def test_wide_parameters():
+    n = 1_000_003 * 1_000_033
+    c = wide.montgomery_constants(n)
+    assert c["r"] == 2**256 % n and c["r2"] == 2**512 % n and (n * c["n0inv"] + 1) % 2**32 == 0
+    assert len(wide.constants_buffer(n)) == 112 and wide.unpack_u256(wide.pack_u256(2**255 + 7)) == 2**255 + 7
+
+
+def test_row_hashes_and_reports(spark, tmp_path):
+    import hashlib
+
+    from gridloom import catalogue
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(5).collect()
+    got = {r["vec_id"]: r["hash"] for r in catalogue.queries()["matrix_rows_hash"](spark, "/root/testdata/sf0.001").collect()}
+    assert all(got[r["vec_id"]] == hashlib.sha256(np.array(r["embedding"], dtype="<f4").tobytes()).hexdigest() for r in rows)
+    df = spark.createDataFrame([(1, 'a,"b"'), (2, '{"k": 1}')], "id long, params string")
+    records.write_csv(df, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("quote", '"').option("escape", '"').schema("id long, params string").csv(str(tmp_path / "csv"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    records.write_json(df, str(tmp_path / "json"))
+    assert spark.read.schema(df.schema).json(str(tmp_path / "json")).count() == 2
+    files = records.files_with_hash(spark, str(tmp_path / "json" / "*.json"), max_bytes=1).collect()
+    assert files and not any(r["accepted"] for r in files)
