@@ -22,7 +22,7 @@ BROADCAST_KEYS = 500_000
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; the others go."""
-    judged = langid.predict(docs.withColumn("__text", F.col("text")), langid.fit(docs), text="__text")
+    judged = langid.predict(docs, langid.fit(docs))
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 

@@ -39,6 +39,24 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables that are dropped together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        self.paths += {p.rpartition("/")[0] for p in out.inputFiles()}
+        return out
+
+    def drop(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,10 +7,10 @@ in hashed buckets) and differ in how they order the others. A pair must share a
 be met at all, and must also share one under the second and third before the whole sets are compared.
 
 Sets that are equal are one node, named by the hash of the set. Pairs inside a prefix shingle's list are not all
-formed. In each round every node of a list is compared to one leader of the list, drawn by a hash of node and round, if
-they are not linked already; groups of copies collapse to one component in a few rounds. What then is left are
-nodes that share a shingle with another component; each of them is compared to all nodes of its lists outside its own
-component. So every two different texts that reach the threshold end in one component, and nothing is capped.
+formed. First every node of a list is compared to the list's leader, the node with the fewest edits; a group of copies
+mostly collapses to one component then. What is left are pairs in different components, and for near copies of one
+leader those are found by their differences from it (see ``_left_pairs``), so a group's pairs aren't formed either.
+Every two different texts that reach the threshold end in one component, and nothing is capped.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing. A text with
 fewer words than a shingle has its whole sequence as only shingle. Rows without a key get no component. Repeated rows
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, stored
+from gridloom.llm.common import Scratch, small_batches, stored
 
 #: Words whose hashes a worker keeps at most.
 CACHE_WORDS = 500_000
@@ -38,8 +38,6 @@ CACHE_WORDS = 500_000
 BUCKET_BITS = (14, 22)
 CHUNK = 4096
 SALTS = 64
-#: Rounds with leaders, at most. They save comparisons; the last step finds whatever links they leave.
-ROUNDS = 4
 #: Keys that are broadcast at most, of 8 bytes each; beyond, Spark shuffles the texts.
 BROADCAST_KEYS = 500_000
 
@@ -95,9 +93,12 @@ class Join:
         place = (ranks[(found & _U(len(ranks) - 1)).astype(np.int64)].astype(_U) << _U(56)) | (_mixed(found, order) >> _U(8))
         return found[np.argpartition(place, p - 1)[:p]] if p < len(found) else found
 
-    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return self.den * both >= self.num * (len(a) + len(b) - both)
+    def shared(self, d, other_d, n, other_n):
+        """Of two near copies' ``d`` and ``other_d`` differences from a third set, how many a link needs them to share.
+
+        Linked sets of sizes n and other_n differ in (n + other_n) * (den - num) / (den + num) shingles at most.
+        """
+        return F.ceil((d + other_d - F.floor((n + other_n) * (self.den - self.num) / (self.den + self.num))) / 2).cast("int")
 
     def may_link(self, a, b):
         """By size alone."""
@@ -178,12 +179,16 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFrame, join: Join) -> DataFrame:
-    """The pairs (``a, b``) that are linked: first by the other orders' prefixes, then by the whole sets."""
+def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFrame, join: Join) -> DataFrame:
+    """``a, b, linked, delta`` of the pairs (``a, b``) that pass the other orders' prefixes, by the whole sets.
+
+    ``delta`` holds the shingles that only one of the two has, or null where they are too many to be near copies.
+    """
+    scratch = Scratch()
     side = lambda s: marks.select(F.col("node").alias(s), F.col("second").alias(f"{s}2"), F.col("third").alias(f"{s}3"))
-    close = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_share, "a long, b long").distinct(), "pairs")
+    close = scratch.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_share, "a long, b long").distinct(), "pairs")
     wanted = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-    keys = stored(keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "keys")
+    keys = scratch.stored(keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "keys")
     some = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +198,20 @@ def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFra
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [join.linked(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in zip(batch.column("ai").to_pylist(), batch.column("bi").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = stored(some.select("text").mapInArrow(build, "node long, items binary"), "sets")
+            linked, deltas = [], []
+            for a, b in zip(batch.column("ai").to_pylist(), batch.column("bi").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                delta = np.setxor1d(a, b, assume_unique=True)
+                both = (len(a) + len(b) - len(delta)) // 2
+                linked.append(join.den * both >= join.num * (both + len(delta)))
+                deltas.append(delta.view(np.int64) if len(delta) * join.num <= 4 * len(a) * (join.den - join.num) else None)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_()), "delta": pa.array(deltas, pa.list_(pa.int64()))})
+
+    sets = scratch.stored(some.select("text").mapInArrow(build, "node long, items binary"), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("items").alias(f"{s}i"))
-    return stored(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ai", "bi").mapInArrow(compare, "a long, b long").distinct(), "links")
+    out = stored(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ai", "bi").mapInArrow(compare, "a long, b long, linked boolean, delta array<bigint>"), "compared")
+    scratch.drop(docs.sparkSession)
+    return out
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -207,7 +220,8 @@ def connected(links: DataFrame) -> DataFrame:
     Alternates large stars (each node's larger neighbours move to its smallest) and small stars (the smaller ones do)
     until nothing changes; the number of rounds grows with the logarithm of the components' size.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now, before = Scratch(), Scratch()
+    edges = now.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -215,7 +229,9 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before.drop(links.sparkSession)
+        now, before = before, now
+        edges = now.stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == state:
             break
@@ -223,54 +239,86 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _ordered(x, y) -> tuple:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    known = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    return df.join(known, node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def _left_pairs(lists: DataFrame, by_leader: DataFrame, roots: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
+    """Pairs of a list that may be linked, lie in different components and weren't compared yet: ``a, b``.
+
+    In a list of near copies most nodes were compared to the leader, and two nodes' sets differ where one but not both
+    of them differs from the leader. For a link that must be few shingles, so the two must share differences, at least
+    ``o`` (``Join.shared``). That is a prefix filter again, among the differences, the rarest of a leader's first. One of
+    the two (a stray) is outside the leader's component, so its differences are many, and hardly any pair is left. Pairs
+    with a node that has no differences from the leader on record, or too few to bound ``o``, are formed from the list.
+    """
+    pivots = lists.select(F.col("leader").alias("pivot")).distinct()
+    sided = by_leader.where("delta IS NOT NULL").select("a", "b", "delta")
+    members = sided.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "delta").union(sided.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "delta")).join(pivots, "pivot", "left_semi")
+    members = members.join(lists.select("node", "n").distinct(), "node")
+    members = _rooted(_rooted(members, roots), roots, "pivot", "pivot_root").withColumn("d", F.size("delta")).withColumn("stray", F.col("root") != F.col("pivot_root"))
+    bounds = members.groupBy("pivot").agg(F.min("d").alias("least"), F.min(F.when(F.col("stray"), F.col("d"))).alias("least_stray"), F.max("n").alias("largest")).where("least_stray IS NOT NULL")
+    shared = join.shared(F.col("d"), F.when(F.col("stray"), F.col("least")).otherwise(F.col("least_stray")), F.col("n"), F.col("largest"))
+    members = scratch.stored(members.join(bounds, "pivot").withColumn("o", shared).select("pivot", "node", "n", "root", "stray", "delta", "d", "o"), "members")
+    bounded = members.where("o >= 1")
+
+    items = bounded.select("pivot", "node", F.explode("delta").alias("item"))
+    rare = items.groupBy("pivot", "item").agg(F.count("*").alias("c"))
+    first = items.join(rare, ["pivot", "item"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("items"))
+    firsts = bounded.where("o <= d").select("pivot", "node", "n", "root", "stray", "d", (F.col("d") - F.col("o") + 1).alias("p")).join(first, ["pivot", "node"])
+    firsts = firsts.select("pivot", "node", "n", "root", "stray", "d", F.posexplode(F.slice("items", 1, F.col("p"))).alias("at", "i")).select("pivot", "node", "n", "root", "stray", "d", (F.col("at") + 1).alias("at"), F.col("i.item").alias("item"))
+    one = firsts.where("stray").select("pivot", "item", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sroot"), F.col("d").alias("sd"), F.col("at").alias("sat"))
+    # the pair's own bound: the shared item must lie in both prefixes, and enough must be left beside it
+    o = join.shared(F.col("d"), F.col("sd"), F.col("n"), F.col("sn"))
+    able = (F.col("at") <= F.col("d") - o + 1) & (F.col("sat") <= F.col("sd") - o + 1) & (F.least("at", "sat") + F.least(F.col("d") - F.col("at"), F.col("sd") - F.col("sat")) >= o)
+    near = one.join(firsts, ["pivot", "item"]).where((F.col("root") != F.col("sroot")) & join.may_link(F.col("n"), F.col("sn")) & able).select(*_ordered(F.col("s"), F.col("node")))
+
+    sizes = lists.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
+    known = bounded.select(F.col("pivot").alias("leader"), "node", F.lit(True).alias("known"))
+    mixed = lists.join(sizes, "token").join(known, ["leader", "node"], "left").withColumn("known", F.coalesce("known", F.col("node") == F.col("leader")))
+    mixed = scratch.stored(mixed.select("token", "node", "n", "root", "main", "known"), "mixed")
+    strays = mixed.where("root <> main").select("token", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sroot"), F.col("known").alias("sknown"))
+    cross = lambda x, y: x.join(y, "token").where((F.col("root") != F.col("sroot")) & join.may_link(F.col("n"), F.col("sn"))).select(*_ordered(F.col("s"), F.col("node")))
+    return near.union(cross(strays.where("NOT sknown"), mixed)).union(cross(strays.where("sknown"), mixed.where("NOT known"))).distinct()
+
+
 def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` (the smallest key that links reach) for each row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark, 512)
+    scratch = Scratch()
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     keyed, counts = nodes(docs, join)
     ranks = bucket_ranks(counts, _buckets(keyed.count()))
-    marks = stored(prefixes(docs, join, ranks), "prefixes")
+    marks = scratch.stored(prefixes(docs, join, ranks), "prefixes")
     lists = marks.select(F.explode("first").alias("token"), "node", "n")
     shared = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    lists = stored(lists.join(shared, "token", "left_semi").distinct(), "lists")
+    lists = scratch.stored(lists.join(shared, "token", "left_semi").distinct(), "lists")
     marks = marks.select("node", "second", "third").dropDuplicates(["node"])
 
-    roots = spark.createDataFrame([], "node long, root long")
-    tried = spark.createDataFrame([], "a long, b long")
-    links = None
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    def more(pairs: DataFrame) -> bool:
-        nonlocal links, roots, tried
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-        new = verified(pairs, marks, docs, keyed, join)
-        tried = tried.union(pairs)
-        if new.isEmpty():
-            return False
-        links = new if links is None else links.union(new)
-        roots = stored(connected(links), "roots")
-        return True
-
-    for step in range(ROUNDS):
-        # one leader a list, in round 0 the same one for lists of the same group wherever it can be
-        at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        drawn = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))
-        leaders = at.groupBy("token").agg(F.min(drawn).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "leader")
-        met = at.join(leaders, "token").where((F.col("root") != F.col("leader.root")) & join.may_link(F.col("n"), F.col("leader.n")))
-        if not more(met.select(*ordered(F.col("node"), F.col("leader.node")))) or step + 1 == ROUNDS:
-            break
-        left = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_root = left.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-        rest = by_root.agg(F.sum((F.col("n") - F.col("most")).cast("double") * F.col("n"))).first()[0] or 0.0
-        if rest <= 2 * lists.count():
-            break
-    at = stored(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "lists")
-    main = at.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
-    open_ = at.join(main, "token")
-    strays = open_.where("root <> main").select("token", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sroot"))
-    cross = strays.join(open_, "token").where((F.col("root") != F.col("sroot")) & ((F.col("root") == F.col("main")) | (F.col("s") < F.col("node"))) & join.may_link(F.col("n"), F.col("sn")))
-    more(cross.select(*ordered(F.col("s"), F.col("node"))))
+    # the leader of a list: the node with the fewest prefix shingles of its own, so with the fewest edits
+    own = lists.groupBy("node").agg((F.expr(f"first(n) - ({join.num} * first(n) + {join.den} - 1) div {join.den} + 1") - F.count("*")).alias("own"))
+    drawn = F.struct("own", F.xxhash64("node", F.lit("leader")).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))
+    leaders = lists.join(own, "node").groupBy("token").agg(F.min(drawn).alias("l"), F.count("*").alias("size")).select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), "size")
+    lists = scratch.stored(lists.join(leaders, "token"), "lists")
+    met = lists.where((F.col("node") != F.col("leader")) & join.may_link(F.col("n"), F.col("leader_n")))
+    pairs = scratch.stored(met.select(*_ordered(F.col("node"), F.col("leader"))).distinct(), "candidates")
+    by_leader = compared(pairs, marks, docs, keyed, join)
+    links = by_leader.where("linked").select("a", "b")
+    roots = stored(connected(links), "roots")
+
+    # a list of two has no other pair
+    lists = scratch.stored(_rooted(lists.where("size > 2").select("token", "node", "n", "leader"), roots), "lists")
+    rest = scratch.stored(_left_pairs(lists, by_leader, roots, join, scratch).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    more = compared(rest, marks, docs, keyed, join).where("linked").select("a", "b")
+    if not more.isEmpty():
+        roots = stored(connected(links.union(more)), "roots")
+    scratch.drop(spark)
 
     found = keyed.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     groups = found.where(F.col("root").isNotNull() & F.col("key").isNotNull()).groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("members")).where("members > 1").select("root", "least")

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +39,16 @@ BUCKET_KEYS = 4096
 #: A block is closed at this many ids; only a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
 #: Words, and words without their punctuation, whose ids a worker keeps at most.
-CACHE_WORDS, CACHE_STEMS = 700_000, 900_000
+CACHE_WORDS, CACHE_STEMS = 800_000, 800_000
+#: Texts are encoded together until they have this size.
+GATHER_BYTES = 8 << 20
 #: A special token of the vocabulary; where the vocabulary lacks it, parts are encoded one by one.
 MARK = "<|endoftext|>"
 #: Bits of a level for each key that comes to it.
 GAMMA = 2.0
 END_ID = 2
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Words] = {}
 #: White space beside a space, or a space at an edge: such texts are encoded as they are.
 _UNEVEN = re.compile(r"\s | \s|^ | $")
 #: White space other than spaces and newlines.
@@ -58,45 +61,79 @@ _TAIL = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
 _PLAIN = re.compile(r" [^\W\d_]+|[^\w\s]+")
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _loaded:
+class Words:
+    """A tokenizer, and the ids of words met before: word number ``i`` has ``pool[starts[i] : starts[i] + sizes[i]]``.
+
+    The vocabulary's pre-tokenizer always starts a new pre-token at a single space between two other characters, and
+    where a run of letters ends. So words are encoded alone, and those that come often once only.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {}, {})
-    return _loaded[path]
-
+        self.tokenizer = Tokenizer.from_file(path)
+        self.numbers: dict[str, int] = {}
+        self.stems: dict[str, bytes] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, as ``encode(text, add_special_tokens=False)`` has them.
+    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, each text's followed by ``end``, and where the texts begin and end.
 
-    The vocabulary's pre-tokenizer always starts a new pre-token at a single space between two other characters, and
-    where a run of letters ends. So words are encoded alone, and those that come often once only.
-    """
-    tokenizer, words, stems = _tokenizer(path)
-    parts = [x.split(" ") if x and _even(x) else None for x in texts]
-    flat = [w for x in parts if x for w in x[1:]]
-    ids = list(map(words.get, flat))
-    missing = [i for i, x in enumerate(ids) if x is None]
-    if missing:
-        new = list({flat[i] for i in missing})
-        cuts = [(m[1], m[2]) if (m := _TAIL.fullmatch(x)) else (x,) for x in (" " + w for w in new)]
-        fresh = _encode_parts(tokenizer, list({y for x in cuts for y in x if y not in stems}))
-        made = {w: b"".join([fresh[y] if y in fresh else stems[y] for y in x]) for w, x in zip(new, cuts, strict=True)}
+        They are the ids that ``encode(text, add_special_tokens=False)`` gives.
+        """
+        even = [x if x and _even(x) else None for x in texts]
+        split = pc.split_pattern(pa.array([x or "" for x in even], pa.large_string()), " ")
+        flat = split.flatten().dictionary_encode()
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        codes, distinct = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        # a text's first word has no blank before it; others begin with no newline, which so marks first words
+        firsts = ["\n" + x[: x.index(" ")] if " " in x else "\n" + x for x in (e or "" for e in even)]
+        alone = {i: len(distinct) + len(firsts) + n for n, i in enumerate(i for i, x in enumerate(texts) if even[i] is None)}
+        codes[offsets[:-1]] = np.arange(len(distinct), len(distinct) + len(firsts))
+        for i, code in alone.items():
+            codes[offsets[i]] = code  # an uneven text is one word by itself
+        numbers = self._numbers([*distinct, *firsts], {c: texts[i] or "" for i, c in alone.items()}, end)
+        words = numbers[codes] if end is None else np.insert(numbers[codes], offsets[1:], numbers[-1])
+        bounds = offsets if end is None else offsets + np.arange(len(offsets))
+        sizes = self.sizes[words]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(self.starts[words] - ends[:-1], sizes) + np.arange(ends[-1])]
+        # whole texts aren't kept, nor new words once the cache is full
+        kept = len(self.numbers)
+        self.starts, self.sizes = self.starts[:kept], self.sizes[:kept]
+        self.pool = self.pool[: self.starts[-1] + self.sizes[-1] if kept else 0]
+        return ids, ends[bounds]
+
+    def _numbers(self, words: list[str], whole: dict[int, str], end: int | None) -> np.ndarray:
+        numbers = np.array([self.numbers.get(w, -1) for w in words], dtype=np.int64)
+        missing = np.flatnonzero(numbers < 0).tolist()
+        new = list(dict.fromkeys(words[i] for i in missing))
+        texts = [w[1:] if w[:1] == "\n" else " " + w for w in new]
+        cuts = [(m[1], m[2]) if (m := _TAIL.fullmatch(x)) else (x,) for x in texts]
+        fresh = _encode_parts(self.tokenizer, list({y for x in cuts for y in x if y not in self.stems}))
+        found = [b"".join([fresh[y] if y in fresh else self.stems[y] for y in x]) for x in cuts]
+        if len(self.stems) + len(fresh) <= CACHE_STEMS:
+            self.stems.update(fresh)
+        found += [_raw(self.tokenizer, x) for x in whole.values()]
+        if end is not None:
+            found.append(np.array([end], dtype="<u4").tobytes())
+        base, sizes = len(self.starts), np.array([len(x) // 4 for x in found], dtype=np.int64)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), dtype="<u4")])
+        place = {w: base + i for i, w in enumerate(new)}
+        if len(self.numbers) < CACHE_WORDS:
+            self.numbers.update(place)
         for i in missing:
-            ids[i] = made[flat[i]]
-        if len(words) + len(made) <= CACHE_WORDS:
-            words.update(made)
-        if len(stems) + len(fresh) <= CACHE_STEMS:
-            stems.update(fresh)
-    out, at = [], 0
-    for text, x in zip(texts, parts, strict=True):
-        if x:
-            out.append(b"".join([_raw(tokenizer, x[0]), *ids[at : at + len(x) - 1]]))
-            at += len(x) - 1
-        else:
-            out.append(_raw(tokenizer, text) if text else b"")
-    return out
+            numbers[i] = place[words[i]]
+        return np.concatenate([numbers, np.arange(base + len(new), base + len(found))])
+
+
+def words(path: str) -> Words:
+    if path not in _loaded:
+        _loaded[path] = Words(path)
+    return _loaded[path]
 
 
 def _even(text: str) -> bool:
@@ -133,28 +170,35 @@ def _encode_parts(tokenizer, parts: list[str]) -> dict[str, bytes]:
 
 def _blocks(key_type: pa.DataType, path: str, end: int):
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.list_(key_type)), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
-    tail = np.array([end], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path)
+        for batch in _gathered(batches):
+            ids, bounds = words(path).encode(batch.column("text").to_pylist(), end)
             keys, shard, first = batch.column("key"), batch.column("shard")[0].as_py(), 0
-            while first < len(ids):
-                last, size = first, 0
-                while last < len(ids) and (last == first or size + len(ids[last]) // 4 < BLOCK_IDS):
-                    size += len(ids[last]) // 4 + 1
-                    last += 1
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in ids[first:last]])])
-                payload = b"".join(y for x in ids[first:last] for y in (x, tail))
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + BLOCK_IDS, side="right")) - 1)
+                offsets, payload = bounds[first : last + 1] - bounds[first], ids[bounds[first] : bounds[last]].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([keys[first:last].to_pylist()], pa.list_(key_type)), pa.array([offsets], pa.list_(pa.int64())), pa.array([payload], pa.binary())], schema=schema)
                 block, first = block + 1, last
 
     return encode
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their bytes reach GATHER_BYTES."""
+    some, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            some.append(batch)
+            size += batch.nbytes
+        if size >= GATHER_BYTES:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
     """64 bits from 64 bits; one function for each seed."""
     with np.errstate(over="ignore"):
