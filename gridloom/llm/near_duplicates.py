@@ -4,7 +4,8 @@ A document's set holds its distinct word shingles as 64-bit hashes. Under any or
 Jaccard similarity reaches the threshold share a shingle among the first ``n - ceil(threshold * n) + 1`` of each (its
 prefix). Three orders are used; all put shingles that many documents share last (by counts over the whole corpus, kept
 in hashed buckets) and differ in how they order the others. A pair must share a prefix shingle under the first order to
-be met at all, and must also share one under the second and third before the whole sets are compared.
+be met at all, and must also share one under the second and third before the whole sets are compared. The two sizes of
+a pair say how far its own prefixes reach: of sets of one size only about half of the prefix that other partners need.
 
 Sets that are equal are one node, named by the hash of the set. Pairs inside a prefix shingle's list are not all
 formed. First every node of a list is compared to the list's leader, the node with the fewest edits; a group of copies
@@ -37,7 +38,9 @@ CACHE_WORDS = 500_000
 #: better counts make shorter lists.
 BUCKET_BITS = (14, 22)
 CHUNK = 4096
-SALTS = 64
+SALTS = 8
+#: Prefixes of at most so many shingles keep 16 bits of each for the second and third order, longer ones 32.
+SHORT_PREFIX = 64
 #: Keys that are broadcast at most, of 8 bytes each; beyond, Spark shuffles the texts.
 BROADCAST_KEYS = 500_000
 
@@ -88,10 +91,33 @@ class Join:
         return n - -(-self.num * n // self.den) + 1
 
     def first(self, found: np.ndarray, ranks: np.ndarray, order: int) -> np.ndarray:
-        """The prefix of a set under an order: the rank of a shingle's bucket, then the order's own hash."""
+        """The prefix of a set under an order, in it: the rank of a shingle's bucket, then the order's own hash."""
         p = self.prefix(len(found))
         place = (ranks[(found & _U(len(ranks) - 1)).astype(np.int64)].astype(_U) << _U(56)) | (_mixed(found, order) >> _U(8))
-        return found[np.argpartition(place, p - 1)[:p]] if p < len(found) else found
+        if p < len(found):
+            some = np.argpartition(place, p - 1)[:p]
+            found, place = found[some], place[some]
+        return found[np.lexsort((found, place))]
+
+    def overlap(self, n: int, other_n: int) -> int:
+        """How many shingles linked sets of these sizes share at least."""
+        return -(-self.num * (n + other_n) // (self.den + self.num))
+
+    def reach(self, n, at, other_n, other_at):
+        """Whether sets whose first common shingle has these places may still share enough from there on."""
+        least = F.ceil(self.num * (n + other_n) / (self.den + self.num))
+        return (n - at >= least) & (other_n - other_at >= least)
+
+    def packed(self, prefix: np.ndarray) -> bytes:
+        return prefix.astype("<u2" if len(prefix) <= SHORT_PREFIX else "<u4").tobytes()
+
+    def may_share(self, a: bytes, n: int, b: bytes, other_n: int) -> bool:
+        """Whether two packed prefixes have a shingle in common, as far as this pair's prefixes reach."""
+        least = self.overlap(n, other_n)
+        sides = [np.frombuffer(x, "<u2" if self.prefix(m) <= SHORT_PREFIX else "<u4")[: max(0, m - least + 1)] for x, m in ((a, n), (b, other_n))]
+        if sides[0].dtype != sides[1].dtype:
+            sides = [x.astype("<u2") for x in sides]
+        return len(np.intersect1d(*sides)) > 0
 
     def shared(self, d, other_d, n, other_n):
         """Of two near copies' ``d`` and ``other_d`` differences from a third set, how many a link needs them to share.
@@ -128,19 +154,27 @@ def nodes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
         chunks = [(i // CHUNK, counts[i : i + CHUNK]) for i in range(0, size, CHUNK) if counts[i : i + CHUNK].any()]
         if chunks:
             none = pa.nulls(len(chunks))
-            yield pa.RecordBatch.from_arrays([none.cast(key_type[0]) if key_type else none, none.cast(pa.int32()), none.cast(pa.int64()), pa.array([c for c, _ in chunks], pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array([x.astype("<i4").tobytes() for _, x in chunks], pa.binary())], names=["key", "n", "node", "chunk", "salt", "counts"])
+            yield pa.RecordBatch.from_arrays([none.cast(key_type[0]) if key_type else none, none.cast(pa.int32()), none.cast(pa.int64()), pa.array([c for c, _ in chunks], pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array([_pack(x) for _, x in chunks], pa.binary())], names=["key", "n", "node", "chunk", "salt", "counts"])
 
     key_type = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]]
     found = stored(docs.mapInArrow(run, f"key {kind}, n int, node long, chunk int, salt int, counts binary"), "shingle-sets")
     return found.where(F.col("chunk").isNull()).select("key", "n", "node"), found.where(F.col("chunk").isNotNull()).select("chunk", "salt", "counts")
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """A chunk of counts, compressed: most are small."""
+    return pa.compress(np.minimum(counts, 2**31 - 1).astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(counts: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts, 4 * CHUNK, codec="zstd", asbytes=True), "<i4")
+
+
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CHUNK, dtype=np.int64)
     for x in pdf["counts"]:
-        part = np.frombuffer(x, "<i4")
-        total[: len(part)] += part
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+        total += _unpack(x)
+    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [_pack(total)]})
 
 
 def bucket_ranks(counts: DataFrame, size: int) -> np.ndarray:
@@ -149,7 +183,7 @@ def bucket_ranks(counts: DataFrame, size: int) -> np.ndarray:
     rows = partial.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").toArrow()  # size * 4 bytes at most
     total = np.zeros(max(size, CHUNK), dtype=np.float64)
     for c, x in zip(rows.column("chunk").to_pylist(), rows.column("counts").to_pylist(), strict=True):
-        total[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(x, "<i4")
+        total[c * CHUNK : (c + 1) * CHUNK] = _unpack(x)
     total = total[:size]
     return np.clip(np.floor(2 * np.log2(np.maximum(total, 1e-9) / max(total.mean(), 1e-9))), 0, 120).astype(np.uint8)
 
@@ -157,36 +191,34 @@ def bucket_ranks(counts: DataFrame, size: int) -> np.ndarray:
 def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
     """For each document of ``docs`` (``text``): ``node, n, first`` (array: order 0) and ``second, third`` (binary).
 
-    The latter hold the low 32 bits of the shingles: enough to tell most pairs that share none.
+    The latter hold the low bits of the shingles (``SHORT_PREFIX``): enough to tell most pairs that share none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for t in batch.column("text").to_pylist() if len(s := shingles(t, join.width))]
-            low = lambda o: [np.unique(join.first(s, ranks, o).astype("<u4")).tobytes() for s in sets]
+            low = lambda o: [join.packed(join.first(s, ranks, o)) for s in sets]
             yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "first": pa.array([join.first(s, ranks, 0).view(np.int64) for s in sets], pa.list_(pa.int64())), "second": pa.array(low(1), pa.binary()), "third": pa.array(low(2), pa.binary())})
 
     return docs.select("text").mapInArrow(run, "node long, n int, first array<bigint>, second binary, third binary")
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a prefix shingle under the second and the third order."""
-    for batch in batches:
-        keep = []
-        sides = [batch.column(c).to_pylist() for c in ("a2", "b2", "a3", "b3")]
-        for a2, b2, a3, b3 in zip(*sides, strict=True):
-            keep.append(all(len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True)) for x, y in ((a2, b2), (a3, b3))))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFrame, join: Join) -> DataFrame:
     """``a, b, linked, delta`` of the pairs (``a, b``) that pass the other orders' prefixes, by the whole sets.
 
     ``delta`` holds the shingles that only one of the two has, or null where they are too many to be near copies.
     """
     scratch = Scratch()
-    side = lambda s: marks.select(F.col("node").alias(s), F.col("second").alias(f"{s}2"), F.col("third").alias(f"{s}3"))
-    close = scratch.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_share, "a long, b long").distinct(), "pairs")
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that share a prefix shingle under the second and the third order too."""
+        for batch in batches:
+            sides = [batch.column(c).to_pylist() for c in ("an", "bn", "a2", "b2", "a3", "b3")]
+            keep = [join.may_share(a2, an, b2, bn) and join.may_share(a3, an, b3, bn) for an, bn, a2, b2, a3, b3 in zip(*sides, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda s: marks.select(F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("second").alias(f"{s}2"), F.col("third").alias(f"{s}3"))
+    close = scratch.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(share, "a long, b long").distinct(), "pairs")
     wanted = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
     keys = scratch.stored(keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "keys")
     some = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
@@ -281,9 +313,10 @@ def _left_pairs(lists: DataFrame, by_leader: DataFrame, roots: DataFrame, join:
     sizes = lists.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
     known = bounded.select(F.col("pivot").alias("leader"), "node", F.lit(True).alias("known"))
     mixed = lists.join(sizes, "token").join(known, ["leader", "node"], "left").withColumn("known", F.coalesce("known", F.col("node") == F.col("leader")))
-    mixed = scratch.stored(mixed.select("token", "node", "n", "root", "main", "known"), "mixed")
-    strays = mixed.where("root <> main").select("token", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sroot"), F.col("known").alias("sknown"))
-    cross = lambda x, y: x.join(y, "token").where((F.col("root") != F.col("sroot")) & join.may_link(F.col("n"), F.col("sn"))).select(*_ordered(F.col("s"), F.col("node")))
+    mixed = scratch.stored(mixed.select("token", "node", "n", "at", "root", "main", "known"), "mixed")
+    strays = mixed.where("root <> main").select("token", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("at").alias("sat"), F.col("root").alias("sroot"), F.col("known").alias("sknown"))
+    fits = (F.col("root") != F.col("sroot")) & join.may_link(F.col("n"), F.col("sn")) & join.reach(F.col("n"), F.col("at"), F.col("sn"), F.col("sat"))
+    cross = lambda x, y: x.join(y, "token").where(fits).select(*_ordered(F.col("s"), F.col("node")))
     return near.union(cross(strays.where("NOT sknown"), mixed)).union(cross(strays.where("sknown"), mixed.where("NOT known"))).distinct()
 
 
@@ -296,24 +329,24 @@ def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "te
     keyed, counts = nodes(docs, join)
     ranks = bucket_ranks(counts, _buckets(keyed.count()))
     marks = scratch.stored(prefixes(docs, join, ranks), "prefixes")
-    lists = marks.select(F.explode("first").alias("token"), "node", "n")
+    lists = marks.select(F.posexplode("first").alias("at", "token"), "node", "n").select("token", "node", "n", "at")
     shared = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     lists = scratch.stored(lists.join(shared, "token", "left_semi").distinct(), "lists")
-    marks = marks.select("node", "second", "third").dropDuplicates(["node"])
+    marks = marks.select("node", "n", "second", "third").dropDuplicates(["node"])
 
     # the leader of a list: the node with the fewest prefix shingles of its own, so with the fewest edits
     own = lists.groupBy("node").agg((F.expr(f"first(n) - ({join.num} * first(n) + {join.den} - 1) div {join.den} + 1") - F.count("*")).alias("own"))
-    drawn = F.struct("own", F.xxhash64("node", F.lit("leader")).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))
-    leaders = lists.join(own, "node").groupBy("token").agg(F.min(drawn).alias("l"), F.count("*").alias("size")).select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), "size")
+    drawn = F.struct("own", F.xxhash64("node", F.lit("leader")).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("at").alias("at"))
+    leaders = lists.join(own, "node").groupBy("token").agg(F.min(drawn).alias("l"), F.count("*").alias("size")).select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.at").alias("leader_at"), "size")
     lists = scratch.stored(lists.join(leaders, "token"), "lists")
-    met = lists.where((F.col("node") != F.col("leader")) & join.may_link(F.col("n"), F.col("leader_n")))
+    met = lists.where((F.col("node") != F.col("leader")) & join.may_link(F.col("n"), F.col("leader_n")) & join.reach(F.col("n"), F.col("at"), F.col("leader_n"), F.col("leader_at")))
     pairs = scratch.stored(met.select(*_ordered(F.col("node"), F.col("leader"))).distinct(), "candidates")
     by_leader = compared(pairs, marks, docs, keyed, join)
     links = by_leader.where("linked").select("a", "b")
     roots = stored(connected(links), "roots")
 
     # a list of two has no other pair
-    lists = scratch.stored(_rooted(lists.where("size > 2").select("token", "node", "n", "leader"), roots), "lists")
+    lists = scratch.stored(_rooted(lists.where("size > 2").select("token", "node", "n", "at", "leader"), roots), "lists")
     rest = scratch.stored(_left_pairs(lists, by_leader, roots, join, scratch).join(pairs, ["a", "b"], "left_anti"), "candidates")
     more = compared(rest, marks, docs, keyed, join).where("linked").select("a", "b")
     if not more.isEmpty():
