@@ -34,9 +34,12 @@ from gridloom.llm.common import Scratch, small_batches, stored
 
 #: Words whose hashes a worker keeps at most.
 CACHE_WORDS = 500_000
-#: Buckets for shingle counts: about four for each document, within these bounds (powers of two). Any order is exact;
+#: Buckets for shingle counts: about so many for each document, within these bounds (powers of two). Any order is exact;
 #: better counts make shorter lists.
+BUCKETS_A_DOC = 16
 BUCKET_BITS = (14, 22)
+#: Shingles that are counted together.
+COUNTED = 1 << 20
 CHUNK = 4096
 SALTS = 8
 #: Prefixes of at most so many shingles keep 16 bits of each for the second and third order, longer ones 32.
@@ -132,7 +135,7 @@ class Join:
 
 
 def _buckets(docs: int) -> int:
-    return 1 << min(BUCKET_BITS[1], max(BUCKET_BITS[0], (4 * max(1, docs) - 1).bit_length()))
+    return 1 << min(BUCKET_BITS[1], max(BUCKET_BITS[0], (BUCKETS_A_DOC * max(1, docs) - 1).bit_length()))
 
 
 def nodes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
@@ -141,16 +144,22 @@ def nodes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, salt = np.zeros(size, dtype=np.int64), 0
+        counts, salt, some, held = np.zeros(size, dtype=np.int64), 0, [], 0
         for batch in batches:
             sets = [shingles(t, join.width) for t in batch.column("text").to_pylist()]
             if not sets:
                 continue
-            counts += np.bincount((np.concatenate(sets) & _U(size - 1)).astype(np.int64), minlength=size)
+            some += [(s & _U(size - 1)).astype(np.int32) for s in sets]
+            held += sum(map(len, sets))
+            if held >= COUNTED:
+                counts += np.bincount(np.concatenate(some), minlength=size)
+                some, held = [], 0
             names = [node_of(s) for s in sets]
             salt = names[0] % SALTS
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array(names, pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=["key", "n", "node", "chunk", "salt", "counts"])
+        if some:
+            counts += np.bincount(np.concatenate(some), minlength=size)
         chunks = [(i // CHUNK, counts[i : i + CHUNK]) for i in range(0, size, CHUNK) if counts[i : i + CHUNK].any()]
         if chunks:
             none = pa.nulls(len(chunks))
@@ -162,12 +171,13 @@ def nodes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """A chunk of counts, compressed: most are small."""
-    return pa.compress(np.minimum(counts, 2**31 - 1).astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    """A chunk of counts: the bytes of each (most counts are small), then all of them compressed."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
+    return bytes([width]) + pa.compress(counts.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(counts: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(counts, 4 * CHUNK, codec="zstd", asbytes=True), "<i4")
+    return np.frombuffer(pa.decompress(counts[1:], counts[0] * CHUNK, codec="zstd", asbytes=True), f"<u{counts[0]}").astype(np.int64)
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
