@@ -2,11 +2,14 @@
 
 A line's spread is the number of distinct sites that have it. HyperLogLog sketches of the sites are kept by the hash of
 the trimmed line and merge by aggregation; where an estimate lies near the threshold, the distinct sites are counted
-exactly. Lines whose spread reaches the threshold are boilerplate and go from every document, but for documents that
-consist mostly of such lines: those are copies of a whole document, which are the near-duplicate operator's work.
+exactly. Lines whose spread reaches the threshold are boilerplate and go from every document, however little is left of
+it. Only a document without a line of its own (all are blank or boilerplate) keeps its text, with ``n_removed`` 0.
 
 Only lines of at least ``MIN_CHARS`` characters count; shorter ones (a single word, say) repeat by chance.
 
+``ORACLE_SQL``, which the registered query has to equal, also spares each document of which less than ``SQL_LEAST_SHARE``
+would stay.
+
 Defined results: a null text stays null, an empty one empty. A null site is no site. Repeated rows count for the same
 site. A document whose lines all stay keeps its text unchanged. Other columns pass through; ``n_lines`` and
 ``n_removed`` are added, and replaced if there.
@@ -21,6 +24,10 @@ from gridloom.llm.common import stored
 
 SITES = 10
 MIN_CHARS = 20
+#: ORACLE_SQL leaves a document alone of which less than this share of the characters would stay.
+SQL_LEAST_SHARE = 0.5
+#: Lines of nothing but these are blank.
+BLANKS = " \t\r\v\f"
 #: 2**12 registers: estimates of this size are off by 1.6 % (one standard deviation); within BAND they are counted.
 LG_K = 12
 BAND = 0.15
@@ -59,8 +66,12 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites
     return stored(spread.where(far).select("hash").union(exact.select("hash")), "boilerplate")
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
-    """``docs`` without boilerplate lines, with ``n_lines`` before and ``n_removed``."""
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, least_share: float = 0.0) -> DataFrame:
+    """``docs`` without boilerplate lines, with ``n_lines`` before and ``n_removed``.
+
+    ``least_share`` is for parity with ORACLE_SQL: documents of which a smaller share of the characters would stay are
+    left alone too.
+    """
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     bad = boilerplate(docs, text, site, sites)
@@ -74,7 +85,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str =
     cleaned = F.when(F.col("__bad").isNotNull(), kept)
     both = both.select(*[docs[c] for c in names], "__bad", F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), cleaned.alias("__kept"))
     joined = F.array_join("__kept", "\n")
-    strips = F.col("__kept").isNotNull() & (2 * F.length(joined) >= F.length(text))
+    own = F.exists("__kept", lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    strips = F.col("__kept").isNotNull() & (F.length(joined) >= least_share * F.length(text) if least_share else own)
     return both.select(*[F.when(strips, joined).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names], "n_lines", F.when(strips, F.col("n_lines") - F.size("__kept")).otherwise(0).cast("long").alias("n_removed"))
 
 

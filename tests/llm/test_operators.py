@@ -287,6 +287,15 @@ def test_line_dedup(spark):
     assert line_dedup.remove(odd_docs(spark)).count() == odd_docs(spark).count()
 
 
+def test_line_dedup_takes_long_notices_out_of_short_pages(spark):
+    import corpus_pipeline
+
+    notice = "A notice that many sites carry, far longer than what their pages have to say for themselves."
+    rows = [(i, f"page {i}\n{notice}", "en", f"s{i}") for i in range(12)] + [(20, f"\n{notice}\n \t\n{notice}", "en", "s1"), (21, f"{notice}\n中", "en", None)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.remove_shared_lines(spark, frame(spark, rows), SF).collect()}
+    assert got == {i: (f"page {i}", len(f"page {i}")) for i in range(12)} | {20: (rows[12][1], len(rows[12][1])), 21: ("中", 1)}
+
+
 def test_license_scan(spark):
     texts = {
         1: "Released under the MIT License. Licensed under the Apache License, Version 2.0; MIT licence",
