@@ -5,10 +5,10 @@ the trimmed line and merge by aggregation; where an estimate lies near the thres
 exactly. Lines whose spread reaches the threshold are boilerplate and go from every document, however little is left of
 it. Only a document without a line of its own (all are blank or boilerplate) keeps its text, with ``n_removed`` 0.
 
-Only lines of at least ``MIN_CHARS`` characters count; shorter ones (a single word, say) repeat by chance.
+Every line that is not blank counts, however short: its spread alone decides.
 
-``ORACLE_SQL``, which the registered query has to equal, also spares each document of which less than ``SQL_LEAST_SHARE``
-would stay.
+``ORACLE_SQL``, which the registered query has to equal, counts only lines of ``MIN_CHARS`` characters, and spares each
+document of which less than ``SQL_LEAST_SHARE`` would stay.
 
 Defined results: a null text stays null, an empty one empty. A null site is no site. Repeated rows count for the same
 site. A document whose lines all stay keeps its text unchanged. Other columns pass through; ``n_lines`` and
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import stored
 
 SITES = 10
+#: ORACLE_SQL neither counts nor removes shorter lines.
 MIN_CHARS = 20
 #: ORACLE_SQL leaves a document alone of which less than this share of the characters would stay.
 SQL_LEAST_SHARE = 0.5
@@ -39,25 +40,25 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _counts(line: Column) -> Column:
-    return F.length(F.trim(line)) >= MIN_CHARS
+def _counts(line: Column, min_chars: int) -> Column:
+    return F.length(F.trim(line)) >= min_chars if min_chars else F.trim(line, F.lit(BLANKS)) != ""
 
 
 def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def _hashes(docs: DataFrame, text: str, *others: str) -> DataFrame:
-    return docs.select(*others, F.explode(_lines(F.col(text))).alias("line")).where(_counts(F.col("line"))).select(*others, _hash(F.col("line")).alias("hash"))
+def _hashes(docs: DataFrame, text: str, min_chars: int, *others: str) -> DataFrame:
+    return docs.select(*others, F.explode(_lines(F.col(text))).alias("line")).where(_counts(F.col("line"), min_chars)).select(*others, _hash(F.col("line")).alias("hash"))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES, min_chars: int = 0) -> DataFrame:
     """``hash`` of each line that at least ``sites`` distinct sites have."""
-    lines = _hashes(docs.where(F.col(site).isNotNull()), text, site)
+    lines = _hashes(docs.where(F.col(site).isNotNull()), text, min_chars, site)
     sketches = lines.groupBy("hash").agg(F.hll_sketch_agg(site, LG_K).alias("sketch"))
     spread = stored(sketches.select("hash", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - BAND)), "spread")
     far = F.col("estimate") > sites * (1 + BAND)
@@ -66,19 +67,19 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites
     return stored(spread.where(far).select("hash").union(exact.select("hash")), "boilerplate")
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, least_share: float = 0.0) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, min_chars: int = 0, least_share: float = 0.0) -> DataFrame:
     """``docs`` without boilerplate lines, with ``n_lines`` before and ``n_removed``.
 
-    ``least_share`` is for parity with ORACLE_SQL: documents of which a smaller share of the characters would stay are
-    left alone too.
+    ``min_chars`` and ``least_share`` are for parity with ORACLE_SQL: shorter lines do not count, and documents of which
+    a smaller share of the characters would stay are left alone too.
     """
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
-    bad = boilerplate(docs, text, site, sites)
+    bad = boilerplate(docs, text, site, sites, min_chars)
     # the hashes to remove by document: as many at most as it has lines
-    found = _hashes(docs.withColumn("__key", F.col(key)), text, "__key").join(_small(bad), "hash").groupBy("__key").agg(F.collect_set("hash").alias("__bad"))
+    found = _hashes(docs.withColumn("__key", F.col(key)), text, min_chars, "__key").join(_small(bad), "hash").groupBy("__key").agg(F.collect_set("hash").alias("__bad"))
     both = docs.join(found, docs[key].eqNullSafe(found["__key"]), "left")
-    goes = lambda x: _counts(x) & F.array_contains("__bad", _hash(x))
+    goes = lambda x: _counts(x, min_chars) & F.array_contains("__bad", _hash(x))
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~goes(x))
     n_lines = F.coalesce(F.size(lines), F.lit(0))

@@ -54,8 +54,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL spares documents of mostly shared lines; the operator by itself and the pipeline do not
-    return line_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), least_share=line_dedup.SQL_LEAST_SHARE)
+    # its SQL spares short lines, and documents of mostly shared lines; the operator by itself and the pipeline do not
+    return line_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), min_chars=line_dedup.MIN_CHARS, least_share=line_dedup.SQL_LEAST_SHARE)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

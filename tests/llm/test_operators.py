@@ -296,6 +296,13 @@ def test_line_dedup_takes_long_notices_out_of_short_pages(spark):
     assert got == {i: (f"page {i}", len(f"page {i}")) for i in range(12)} | {20: (rows[12][1], len(rows[12][1])), 21: ("中", 1)}
 
 
+def test_line_dedup_judges_short_lines_by_their_spread(spark):
+    rows = [(i, f"Subscribe now\n\n \t\nown words {i}\n 登录 \r\nIt.\n\t", "en", f"s{i % 11}") for i in range(12)] + [(20, "It.\nonly here", "en", "s12"), (21, "Subscribe now", "en", "s1")]
+    rows[3:] = [(i, t.replace("It.", f"It {i}.") if i < 15 else t, lang, s) for i, t, lang, s in rows[3:]]  # now on 4 sites
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.remove(frame(spark, rows), sites=10).collect()}
+    assert got == {i: (f"\n \t\nown words {i}\n{'It.' if i < 3 else f'It {i}.'}\n\t", 7, 2) for i in range(12)} | {20: ("It.\nonly here", 2, 0), 21: ("Subscribe now", 1, 0)}
+
+
 def test_license_scan(spark):
     texts = {
         1: "Released under the MIT License. Licensed under the Apache License, Version 2.0; MIT licence",
