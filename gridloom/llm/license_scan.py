@@ -104,8 +104,8 @@ OTHERS = [
 ]
 #: The phrases that are always reported.
 BASE = [("mit", "license", "mit license"), ("apache", "license", "apache license"), ("gpl", "license", "general public license")]
-#: Without any of these, no rule can match.
-GATES = ["licen", "spdx", "permission", "redistribution", "public domain", "public", "all rights"]
+#: Without any of these, no rule can match. Each lies within one word, so it is found however the words are set apart.
+GATES = ["licen", "spdx", "permission", "redistribution", "public", "reserved"]
 PRIORITIES = 6
 
 

@@ -323,5 +323,14 @@ def test_license_scan(spark):
     assert license_scan.summary(odd_docs(spark)).count() == odd_docs(spark).count()
 
 
+def test_license_gates_miss_no_wrapped_notice(spark):
+    texts = ["All\nrights reserved", "all  rights\treserved", "ALL-RIGHTS-RESERVED.", "all rights\r\n reserved", "placed in the public\ndomain", "Permission to use", "all rights kept"]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.summary(docs).collect()}
+    assert got == dict.fromkeys(range(4), ("proprietary", 0.5)) | {4: ("public-domain", 0.8), 5: ("", 0.0), 6: ("", 0.0)}
+    assert all(gate.isalpha() for gate in license_scan.GATES)
+    assert all(any(gate in rule.pattern for gate in license_scan.GATES) for rule in license_scan.rules())
+
+
 def test_queries_return_their_columns(spark):
     assert queries.op3_kmeans_tree(spark, SF).dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
