@@ -34,7 +34,7 @@ def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, 0.8); rows without an id stay."""
-    found = near_duplicates.components(docs, near_duplicates.Join(width=5, num=80))
+    found = near_duplicates.components(docs, near_duplicates.Join(width=5, num=80), one_by_key=False)
     gone = stored(found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(docs.columns)
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")

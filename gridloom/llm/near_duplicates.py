@@ -250,6 +250,8 @@ def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFra
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_()), "delta": pa.array(deltas, pa.list_(pa.int64()))})
 
     sets = scratch.stored(some.select("text").mapInArrow(build, "node long, items binary"), "sets")
+    if sets.count() > sets.select("node").distinct().count():  # repeated rows
+        sets = scratch.stored(sets.dropDuplicates(["node"]), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("items").alias(f"{s}i"))
     out = stored(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ai", "bi").mapInArrow(compare, "a long, b long, linked boolean, delta array<bigint>"), "compared")
     scratch.drop(docs.sparkSession)
@@ -330,8 +332,11 @@ def _left_pairs(lists: DataFrame, by_leader: DataFrame, roots: DataFrame, join:
     return near.union(cross(strays.where("NOT sknown"), mixed)).union(cross(strays.where("sknown"), mixed.where("NOT known"))).distinct()
 
 
-def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, component_id`` (the smallest key that links reach) for each row of ``docs``."""
+def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "text", one_by_key: bool = True) -> DataFrame:
+    """``key, n_shingles, component_id`` (the smallest key that links reach) for each row of ``docs``.
+
+    Without ``one_by_key``, different texts of one key are not linked by it.
+    """
     spark = docs.sparkSession
     small_batches(spark, 512)
     scratch = Scratch()
@@ -353,6 +358,12 @@ def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "te
     pairs = scratch.stored(met.select(*_ordered(F.col("node"), F.col("leader"))).distinct(), "candidates")
     by_leader = compared(pairs, marks, docs, keyed, join)
     links = by_leader.where("linked").select("a", "b")
+    # keys with several nodes, and one of these that is not the empty set
+    several = keyed.where(F.lit(one_by_key) & F.col("key").isNotNull()).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("n") > 0, F.col("node"))).alias("one"))
+    several = stored(several.where("low <> high AND one IS NOT NULL").select("key", "one"), "several")
+    repeated = one_by_key and not several.isEmpty()
+    if repeated:
+        links = links.union(scratch.stored(keyed.where("n > 0").join(several, "key").where("node <> one").select(*_ordered(F.col("one"), F.col("node"))).distinct(), "same-key"))
     roots = stored(connected(links), "roots")
 
     # a list of two has no other pair
@@ -363,6 +374,10 @@ def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "te
         roots = stored(connected(links.union(more)), "roots")
     scratch.drop(spark)
 
-    found = keyed.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    if repeated:  # a row without words belongs to its key's other rows
+        keyed = keyed.join(several, "key", "left").select("key", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("one")).alias("node"))
+        found = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        found = keyed.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     groups = found.where(F.col("root").isNotNull() & F.col("key").isNotNull()).groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("members")).where("members > 1").select("root", "least")
     return found.join(groups, "root", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "key")).alias("component_id"))

@@ -249,6 +249,30 @@ def test_components_of_odd_rows(spark):
     assert near_duplicates.components(docs.limit(0), join).count() == 0
 
 
+def test_components_of_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(80)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    a_, b_, c_ = near(a), near(b), near(c)
+    a, b, c = map(" ".join, (a, b, c))
+    rows = [(5, a), (5, b), (5, b), (5, None), (3, a_), (3, a_), (4, b_), (4, b_), (9, c), (9, c), (8, c_), (8, " "), (7, ""), (7, ""), (6, None), (10, "one two three four")]
+    alone = plain_components(enumerate(t for _, t in rows), 3, 90)
+    group = {i: {j for j in alone if alone[j][1] == alone[i][1]} for i in alone}
+    for _ in rows:  # rows of one id are one document
+        group = {i: set().union(*(group[j] for j in alone if j in group[i] or rows[j][0] in {rows[k][0] for k in group[i]})) for i in alone}
+    want = sorted((rows[i][0], alone[i][0], min(rows[j][0] for j in group[i])) for i in alone)
+    assert {(k, c) for k, _, c in want} == {(3, 3), (4, 3), (5, 3), (8, 8), (9, 8), (7, 7), (6, 6), (10, 10)}
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    join = near_duplicates.Join(3, 90)
+    assert sorted(map(tuple, near_duplicates.components(docs, join).collect())) == want
+
+    docs = docs.select(F.col("doc_id").alias("key"), "text").where("key > 7")
+    keyed, counts = near_duplicates.nodes(docs, join)
+    marks = near_duplicates.prefixes(docs, join, near_duplicates.bucket_ranks(counts, near_duplicates._buckets(keyed.count()))).dropDuplicates(["node"])
+    pairs = spark.createDataFrame([sorted(near_duplicates.node_of(near_duplicates.shingles(t, 3)) for t in (c, c_))], "a long, b long")
+    assert [r["linked"] for r in near_duplicates.compared(pairs, marks, docs, keyed, join).collect()] == [True]
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in near_duplicates.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
