@@ -2,19 +2,23 @@
 
 Layout, below one folder:
 
-``shards``    Rows in ascending key order; one row is a block: ``shard``, ``block`` (its number in the shard),
-              ``keys`` (array), ``offsets`` (array, one more than keys: token offsets in the block) and ``payload``
-              (the ids as raw little-endian unsigned 32-bit integers).
-``manifest``  For each block the number of ids in all blocks before it.
-``index``     One row for each bucket of keys: the level bit arrays of a minimal perfect hash, and by its slots a
-              fingerprint, the global start of the key's first document, the last one's, and how many there are.
-
-A lookup hashes a key to its bucket, walks the bucket's levels to the slot and compares the stored fingerprint:
-constant time, and a key that isn't there is told by its fingerprint (but for one in 2**32).
+``shards``    One file a shard, in ascending key order; one row is a block: ``shard``, ``block`` (its number in the
+              shard), ``keys`` (array), ``offsets`` (array, one more than keys: where documents begin in the block) and
+              ``payload`` (the ids as raw little-endian unsigned 32-bit integers).
+``manifest``  For each block its file and the number of ids in all blocks before it.
+``index``     One row for each bucket of keys, in bucket order: the level bit arrays of a minimal perfect hash, and by
+              its slots a fingerprint and a place (``PLACE``): the shard and block, the number in the block of the key's
+              first document, how many documents follow it there under the same key, and the first one's global start.
+``more``      The further places of keys whose documents lie in several blocks (no rows where keys are unique).
+
+A lookup hashes a key to its bucket, walks the bucket's levels to the slot and compares the stored fingerprint. It takes
+constant time. Reading then opens only the files of the shards that the places name, joins their blocks on (shard, block)
+and cuts the named documents out of the payload. A key that isn't there is told by its fingerprint (but for one in
+2**32), and by the block's own keys in any case. Keys whose hashes agree in all 128 bits share an exact list.
 
 Defined results: a null text counts as empty and gives only the end id. A null key is a key like others and sorts
-first. Documents that share a key lie next to each other (ordered by the hash of their text) and the index entry
-spans them all. An empty table gives empty shards and an empty index. Other columns are not read.
+first. Documents that share a key lie next to each other (ordered by the hash of their text) and are all found. An empty
+table gives empty shards and an empty index. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,44 +32,44 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gridloom.llm.common import new_folder, partitions, small_batches
+from gridloom.llm.common import WordTable, gathered, held, new_folder, partitions, small_batches, stored, take
 
 #: Keys of an index bucket, on average; a bucket is built in one Python call.
 BUCKET_KEYS = 4096
 #: A block is closed at this many ids; only a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
-#: Words, and words without their punctuation, whose ids a worker keeps at most.
-CACHE_WORDS, CACHE_STEMS = 800_000, 800_000
+#: Words whose ids a worker keeps at most (some 30 bytes each), and the longest of them.
+KEPT_WORDS, LONG_WORD = 500_000, 48
 #: Texts are encoded together until they have this size.
-GATHER_BYTES = 8 << 20
+GATHER_BYTES = 2 << 20
+#: Places that are sent to all tasks at most (16 bytes each); beyond, Spark shuffles the blocks.
+BROADCAST_PLACES = 500_000
+#: Buckets by which the index's files are pruned at most.
+PRUNE_BUCKETS = 64
 #: A special token of the vocabulary; where the vocabulary lacks it, parts are encoded one by one.
 MARK = "<|endoftext|>"
-#: Bits of a level for each key that comes to it.
-GAMMA = 2.0
+#: Bits of a level for each key that comes to it, and levels at most; keys beyond them go to an exact list.
+GAMMA, MAX_LEVELS = 2.0, 48
 END_ID = 2
+#: Fixed order: what a slot holds of a place.
+PLACE = {"shard": "<i4", "block": "<i4", "at": "<i4", "docs": "<i4", "start": "<i8"}
 
-_loaded: dict[str, Words] = {}
-#: White space beside a space, or a space at an edge: such texts are encoded as they are.
-_UNEVEN = re.compile(r"\s | \s|^ | $")
+_CUT = "\x01"
+#: White space beside white space or at an edge: such texts are encoded as they are.
+_UNEVEN = re.compile(r"\s\s|^\s|\s$")
 #: White space other than spaces and newlines.
 _RARE = re.compile(r"[^\S \n]")
-#: Letters, then other characters than letters, white space or an apostrophe.
-_TAIL = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
-
-
-#: Parts that a newline may part: they begin with a blank and letters or are marks only, and end in neither blank.
-_PLAIN = re.compile(r" [^\W\d_]+|[^\w\s]+")
 
 
 class Words:
-    """A tokenizer, and the ids of words met before: word number ``i`` has ``pool[starts[i] : starts[i] + sizes[i]]``.
+    """A tokenizer, and the ids of words met before.
 
     The vocabulary's pre-tokenizer always starts a new pre-token at a single space between two other characters, and
-    where a run of letters ends. So words are encoded alone, and those that come often once only.
+    before and after a single newline. So words are encoded alone, and those that come often once only.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,132 +77,110 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.numbers: dict[str, int] = {}
-        self.stems: dict[str, bytes] = {}
-        self.pool, self.starts, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.known = WordTable(KEPT_WORDS, "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, each text's followed by ``end``, and where the texts begin and end.
 
         They are the ids that ``encode(text, add_special_tokens=False)`` gives.
         """
-        even = [x if x and _even(x) else None for x in texts]
-        split = pc.split_pattern(pa.array([x or "" for x in even], pa.large_string()), " ")
-        flat = split.flatten().dictionary_encode()
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        codes, distinct = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
-        # a text's first word has no blank before it; others begin with no newline, which so marks first words
-        firsts = ["\n" + x[: x.index(" ")] if " " in x else "\n" + x for x in (e or "" for e in even)]
-        alone = {i: len(distinct) + len(firsts) + n for n, i in enumerate(i for i, x in enumerate(texts) if even[i] is None)}
-        codes[offsets[:-1]] = np.arange(len(distinct), len(distinct) + len(firsts))
-        for i, code in alone.items():
-            codes[offsets[i]] = code  # an uneven text is one word by itself
-        numbers = self._numbers([*distinct, *firsts], {c: texts[i] or "" for i, c in alone.items()}, end)
-        words = numbers[codes] if end is None else np.insert(numbers[codes], offsets[1:], numbers[-1])
-        bounds = offsets if end is None else offsets + np.arange(len(offsets))
-        sizes = self.sizes[words]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.repeat(self.starts[words] - ends[:-1], sizes) + np.arange(ends[-1])]
-        # whole texts aren't kept, nor new words once the cache is full
-        kept = len(self.numbers)
-        self.starts, self.sizes = self.starts[:kept], self.sizes[:kept]
-        self.pool = self.pool[: self.starts[-1] + self.sizes[-1] if kept else 0]
-        return ids, ends[bounds]
-
-    def _numbers(self, words: list[str], whole: dict[int, str], end: int | None) -> np.ndarray:
-        numbers = np.array([self.numbers.get(w, -1) for w in words], dtype=np.int64)
-        missing = np.flatnonzero(numbers < 0).tolist()
-        new = list(dict.fromkeys(words[i] for i in missing))
-        texts = [w[1:] if w[:1] == "\n" else " " + w for w in new]
-        cuts = [(m[1], m[2]) if (m := _TAIL.fullmatch(x)) else (x,) for x in texts]
-        fresh = _encode_parts(self.tokenizer, list({y for x in cuts for y in x if y not in self.stems}))
-        found = [b"".join([fresh[y] if y in fresh else self.stems[y] for y in x]) for x in cuts]
-        if len(self.stems) + len(fresh) <= CACHE_STEMS:
-            self.stems.update(fresh)
-        found += [_raw(self.tokenizer, x) for x in whole.values()]
+        words: list[str] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for i, t in enumerate(texts):
+            cut = _words(t or "")
+            words += cut
+            sizes[i] = len(cut)
+        order, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object))
+        codes = WordTable.codes(distinct)
+        slot = self.known.find(codes)
+        new = np.flatnonzero(slot < 0)
+        fresh = _encode_parts(self.tokenizer, distinct[new].tolist())
+        counts = np.array([len(x) // 4 for x in fresh], dtype=np.int64)
+        values = np.frombuffer(b"".join(fresh), dtype="<u4")
+        used = self.known.used
+        starts, n = self.known.starts[slot].astype(np.int64), self.known.sizes[slot].astype(np.int64)
+        starts[new], n[new] = used + np.cumsum(counts) - counts, counts
+        pool = np.concatenate([self.known.pool[:used].astype("<u4"), values, np.array([end or 0], dtype="<u4")])
         if end is not None:
-            found.append(np.array([end], dtype="<u4").tobytes())
-        base, sizes = len(self.starts), np.array([len(x) // 4 for x in found], dtype=np.int64)
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), dtype="<u4")])
-        place = {w: base + i for i, w in enumerate(new)}
-        if len(self.numbers) < CACHE_WORDS:
-            self.numbers.update(place)
-        for i in missing:
-            numbers[i] = place[words[i]]
-        return np.concatenate([numbers, np.arange(base + len(new), base + len(found))])
+            starts, n = np.append(starts, len(pool) - 1), np.append(n, 1)
+            order = np.insert(order, np.cumsum(sizes), len(starts) - 1)
+            sizes = sizes + 1
+        ids = take(pool, starts[order], n[order])
+        ends = np.concatenate([[0], np.cumsum(n[order])])
+        short = np.fromiter((len(x) <= LONG_WORD for x in distinct[new]), dtype=bool, count=len(new))
+        self.known.add((codes[0][new[short]], codes[1][new[short]]), values[np.repeat(short, counts)], counts[short])
+        return ids, ends[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 def words(path: str) -> Words:
-    if path not in _loaded:
-        _loaded[path] = Words(path)
-    return _loaded[path]
+    return held(("tokens", path), lambda: Words(path))
 
 
-def _even(text: str) -> bool:
-    """Whether each space stands between two characters that aren't white space."""
-    if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
-        return False
-    return not (_RARE.search(text) and _UNEVEN.search(text))
+def _words(text: str) -> list[str]:
+    """Parts whose ids do not depend on what stands beside them: the text cut before single spaces and around single newlines."""
+    if not text:
+        return []
+    if _CUT in text or "  " in text or "\n " in text or " \n" in text or text[0].isspace() or text[-1].isspace():
+        return [text]
+    if _RARE.search(text) and _UNEVEN.search(text):
+        return [text]
+    cut = text.replace(" ", _CUT + " ")
+    if "\n" in text and "\n\n" not in text:
+        cut = cut.replace("\n", f"{_CUT}\n{_CUT}")
+    return cut.split(_CUT)
 
 
 def _raw(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def _encode_parts(tokenizer, parts: list[str]) -> dict[str, bytes]:
-    """Ids of each part alone. Many go to the tokenizer as one string, between marks that it never merges over."""
+def _encode_parts(tokenizer, parts: list[str]) -> list[bytes]:
+    """Ids of each part alone. Many go to the tokenizer as one string, between newlines or marks that it never merges over."""
     mark, line = tokenizer.token_to_id(MARK), tokenizer.token_to_id("\u010a")  # the vocabulary's name of a newline
-    alone, plain, marked = {}, [], []
-    for x in parts:
-        if line is not None and _PLAIN.fullmatch(x):
-            plain.append(x)
-        elif mark is not None and MARK not in x:
-            marked.append(x)
-        else:
-            alone[x] = _raw(tokenizer, x)
-    for some, between, cut in ((plain, "\n", line), (marked, MARK, mark)):
-        groups = [some[j : j + 1000] for j in range(0, len(some), 1000)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([between.join(x) for x in groups], add_special_tokens=False), strict=True):
+    out: list[bytes] = [b""] * len(parts)
+    by_line, by_mark = [], []
+    for first in range(0, len(parts), 1000):
+        group = range(first, min(first + 1000, len(parts)))
+        if line is not None and _apart([parts[i] for i in group]):
+            by_line.append(list(group))
+            continue
+        plain = [i for i in group if line is not None and _apart([parts[i]])]
+        marked = [i for i in group if i not in set(plain) and mark is not None and MARK not in parts[i]]
+        by_line += [plain] if plain else []
+        by_mark += [marked] if marked else []
+        for i in set(group) - {*plain, *marked}:
+            out[i] = _raw(tokenizer, parts[i])
+    for groups, between, cut in ((by_line, "\n", line), (by_mark, MARK, mark)):
+        for group, e in zip(groups, tokenizer.encode_batch_fast([between.join([parts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == cut), len(ids)) * 4
             whole, starts = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
-            alone.update((x, whole[a:b]) for x, a, b in zip(group, starts, ends.tolist(), strict=True))
-    return alone
+            for i, a, b in zip(group, starts, ends.tolist(), strict=True):
+                out[i] = whole[a:b]
+    return out
+
 
+def _apart(parts: list[str]) -> bool:
+    """Whether no part is blank or has white space but one leading space, and none holds the mark."""
+    joined, bare = "\n".join(parts), [x.strip() for x in parts]
+    return MARK not in joined and len(joined.split()) == len(parts) and all(y and (x == y or x == " " + y) for x, y in zip(parts, bare, strict=True))
 
-def _blocks(key_type: pa.DataType, path: str, end: int):
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.list_(key_type)), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
+def _blocks(schema: pa.Schema, path: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = 0
-        for batch in _gathered(batches):
+        for batch in gathered(batches, GATHER_BYTES):
             ids, bounds = words(path).encode(batch.column("text").to_pylist(), end)
             keys, shard, first = batch.column("key"), batch.column("shard")[0].as_py(), 0
             while first < batch.num_rows:
                 last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + BLOCK_IDS, side="right")) - 1)
                 offsets, payload = bounds[first : last + 1] - bounds[first], ids[bounds[first] : bounds[last]].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([keys[first:last].to_pylist()], pa.list_(key_type)), pa.array([offsets], pa.list_(pa.int64())), pa.array([payload], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), keys[first:last]), pa.array([offsets], pa.list_(pa.int64())), pa.array([payload], pa.binary())], schema=schema)
                 block, first = block + 1, last
 
     return encode
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together until their bytes reach GATHER_BYTES."""
-    some, size = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            some.append(batch)
-            size += batch.nbytes
-        if size >= GATHER_BYTES:
-            yield pa.concat_batches(some)
-            some, size = [], 0
-    if some:
-        yield pa.concat_batches(some)
-
-
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
     """64 bits from 64 bits; one function for each seed."""
     with np.errstate(over="ignore"):
@@ -208,63 +190,85 @@ def _mix(h: np.ndarray, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def build_levels(h: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Level sizes and all levels' bits for the distinct 64-bit hashes ``h``.
+def _at(h: np.ndarray, second: np.ndarray, level: int, size: int) -> np.ndarray:
+    """A hash's bit on a level. The second hash takes part, so that keys which share the first one part."""
+    return (_mix(h ^ _mix(second, level + 1000), level) % np.uint64(size)).astype(np.int64)
+
 
-    On each level a hash takes the bit that it alone maps to; those that collide go to the next level. The slot of a
-    hash is the number of set bits before its own.
+def build_levels(h: np.ndarray, second: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Level sizes, all levels' bits, and which keys found no bit, for keys with the 64-bit hashes ``h`` and ``second``.
+
+    On each level a key takes the bit that it alone maps to; those that collide go to the next level. The slot of a
+    key is the number of set bits before its own. Keys that agree in both hashes collide on every level; they, and
+    whatever else is left after ``MAX_LEVELS``, come after the slots, as an exact list.
     """
-    sizes, bits, left = [], [], h
-    while len(left):
+    sizes, bits, left = [], [], np.arange(len(h))
+    while len(left) and len(sizes) < MAX_LEVELS:
         size = max(64, int(len(left) * GAMMA) + 63 & ~63)
-        at = (_mix(left, len(sizes)) % np.uint64(size)).astype(np.int64)
+        at = _at(h[left], second[left], len(sizes), size)
         alone = np.bincount(at, minlength=size) == 1
         sizes.append(size)
         bits.append(alone)
         left = left[~alone[at]]
-    return sizes, np.concatenate(bits) if bits else np.zeros(0, dtype=bool)
+    return sizes, np.concatenate(bits) if bits else np.zeros(0, dtype=bool), left
 
 
-def slots(h: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
-    """Slot of each hash; -1 where no level has its bit."""
+def slots(h: np.ndarray, second: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
+    """Slot of each key; -1 where no level has its bit."""
     ranks = np.cumsum(bits) - 1
     out = np.full(len(h), -1, dtype=np.int64)
     base, open_ = 0, np.arange(len(h))
     for level, size in enumerate(sizes):
-        at = (_mix(h[open_], level) % np.uint64(size)).astype(np.int64) + base
+        at = _at(h[open_], second[open_], level, size) + base
         hit = bits[at]
         out[open_[hit]] = ranks[at[hit]]
         open_, base = open_[~hit], base + size
     return out
 
 
+def _u64(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(dtype=np.int64).view(np.uint64)
+
+
 def _build_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    h = pdf["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    sizes, bits = build_levels(h)
-    order = np.argsort(slots(h, sizes, bits))
-    put = lambda c, kind: pdf[c].to_numpy()[order].astype(kind).tobytes()
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "prints": [put("print", "<u4")], "first": [put("first", "<i8")], "last": [put("last", "<i8")], "count": [put("count", "<i8")]})
+    h, second = _u64(pdf["h"]), _u64(pdf["second"])
+    sizes, bits, left = build_levels(h, second)
+    slot = slots(h, second, sizes, bits)
+    slot[left] = np.iinfo(np.int64).max  # after the slots
+    order = np.argsort(slot, kind="stable")
+    rest = pdf.iloc[order[len(h) - len(left) :]]
+    out = {"bucket": [pdf["bucket"].iloc[0]], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "rest": [rest[["h", "second"]].to_numpy(dtype="<i8").tobytes()]}
+    out["prints"] = [second[order].astype("<u4").tobytes()]
+    return pd.DataFrame(out | {c: [pdf[c].to_numpy()[order].astype(kind).tobytes()] for c, kind in PLACE.items()})
+
+
+_FOUND = "h long, second long, shard int, block int, at int, docs int, start long"
 
 
 def _find(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if not len(keys) or not len(index):
-        return pd.DataFrame({"h": [], "print": [], "first": [], "last": [], "count": []}).astype("int64")
+        return pd.DataFrame({c: [] for c in ("h", "second", *PLACE)}).astype("int64")
     row = index.iloc[0]
     sizes = [int(x) for x in row["sizes"]]
     bits = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), count=sum(sizes)).astype(bool)
-    at = slots(keys["h"].to_numpy(dtype=np.int64).view(np.uint64), sizes, bits)
-    keys, at = keys[at >= 0], at[at >= 0]
-    same = np.frombuffer(row["prints"], "<u4")[at] == keys["print"].to_numpy().astype("<u4")
-    keys, at = keys[same], at[same]
-    return pd.DataFrame({"h": keys["h"].to_numpy(), "print": keys["print"].to_numpy()} | {c: np.frombuffer(row[c], "<i8")[at] for c in ("first", "last", "count")})
+    h, second = _u64(keys["h"]), _u64(keys["second"])
+    prints, rest = np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["rest"], "<i8").reshape(-1, 2)
+    at, who = slots(h, second, sizes, bits), np.arange(len(h))
+    same = (at >= 0) & (prints[np.maximum(at, 0)] == second.astype("<u4"))
+    who, at = who[same], at[same]
+    for i, (a, b) in enumerate(rest.tolist()):  # hardly ever any
+        hits = np.flatnonzero((h.view(np.int64) == a) & (second.view(np.int64) == b))
+        who, at = np.append(who, hits), np.append(at, np.full(len(hits), len(prints) - len(rest) + i))
+    return pd.DataFrame({"h": keys["h"].to_numpy()[who], "second": keys["second"].to_numpy()[who]} | {c: np.frombuffer(row[c], kind)[at] for c, kind in PLACE.items()})
 
 
 def _hash(key):
     return F.xxhash64(key, F.lit("slot"))
 
 
-def _fingerprint(key):
-    return F.xxhash64(key, F.lit("fingerprint")).bitwiseAND(F.lit(0xFFFFFFFF))
+def _second(key):
+    """Its low 32 bits are the fingerprint."""
+    return F.xxhash64(F.lit("fingerprint"), key)
 
 
 @dataclass(frozen=True)
@@ -284,37 +288,61 @@ class TokenStore:
     def index(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/index")
 
+    def more(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/more")
+
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """For each distinct ``key`` of ``keys`` that the index has: ``key, first, last, count``.
+        """The places of each distinct ``key`` of ``keys`` that the index has: ``key, shard, block, at, docs, start``."""
+        asked = keys.select("key").distinct().select("key", _hash(F.col("key")).alias("h"), _second(F.col("key")).alias("second"))
+        asked = asked.withColumn("bucket", F.pmod("h", F.lit(self.buckets)))
+        index = self.index()
+        named = [r[0] for r in asked.select("bucket").distinct().limit(PRUNE_BUCKETS + 1).collect()]
+        if len(named) <= PRUNE_BUCKETS:
+            index = index.where(F.col("bucket").isin(named))
+        found = asked.select("h", "second", "bucket").groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_find, _FOUND)
+        more = self.more()
+        if not more.isEmpty():
+            found = found.union(asked.select("h", "second").join(more, ["h", "second"]).select(found.columns))
+        return asked.join(found, ["h", "second"]).select("key", *PLACE)
 
-        ``first`` and ``last`` are the global starts of the key's first and last document, ``count`` how many it has.
-        """
-        asked = keys.select("key").distinct().select("key", _hash(F.col("key")).alias("h"), _fingerprint(F.col("key")).alias("print"))
-        by = asked.select("h", "print", F.pmod("h", F.lit(self.buckets)).alias("bucket")).groupBy("bucket")
-        found = by.cogroup(self.index().groupBy("bucket")).applyInPandas(_find, "h long, print long, first long, last long, count long")
-        return asked.join(found, ["h", "print"]).select("key", "first", "last", "count")
+    def fetch(self, keys: DataFrame, digest_only: bool = False) -> DataFrame:
+        """The documents of ``keys``: ``key, start, n_tokens, crc`` and, unless ``digest_only``, ``ids`` (binary).
 
-    def documents(self, digest_only: bool = False) -> DataFrame:
-        """Each document as the shards hold it: ``key, start, n_tokens, crc`` and, unless ``digest_only``, ``ids`` (binary)."""
-        key_type = self.shards().schema["keys"].dataType.elementType
-        blocks = self.shards().join(self.manifest().select("shard", "block", "base"), ["shard", "block"]).select("keys", "offsets", "payload", "base")
+        Only the files and the ranges of ids that the index names are read.
+        """
+        spark = self.spark
+        at = stored(self.lookup(keys), "places")
+        manifest = self.manifest()
+        # as many files at most as there are shards
+        files = [r[0] for r in manifest.join(at.select("shard").distinct(), "shard", "left_semi").select("file").distinct().collect()]
+        shards = self.shards()
+        key_type = shards.schema["keys"].dataType.elementType
+        kind = f"key {key_type.simpleString()}, start long, n_tokens long, crc long" + ("" if digest_only else ", ids binary")
+        if not files:
+            return spark.createDataFrame([], kind)
+        wanted = at.groupBy("shard", "block").agg(F.collect_set(F.struct("at", "docs", "start", "key")).alias("p"))
+        wanted = wanted.select("shard", "block", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("at", "docs", "start", "key")])
+        wanted = F.broadcast(wanted) if at.count() <= BROADCAST_PLACES else wanted
+        named = spark.read.schema(shards.schema).parquet(*files).join(wanted, ["shard", "block"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    offsets = np.array(batch.column("offsets")[i].as_py(), dtype=np.int64)
-                    payload, base = memoryview(batch.column("payload")[i].as_buffer()), batch.column("base")[i].as_py()
-                    parts = [payload[a * 4 : b * 4] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    out = {"key": batch.column("keys")[i].values, "start": pa.array(offsets[:-1] + base), "n_tokens": pa.array(np.diff(offsets)), "crc": pa.array([zlib.crc32(x) for x in parts], pa.int64())}
+                    offsets, own = batch.column("offsets")[i].values.to_numpy(zero_copy_only=False), batch.column("keys")[i].values
+                    payload = memoryview(batch.column("payload")[i].as_buffer())
+                    first, docs, start, key = (batch.column(f"p_{c}")[i].values for c in ("at", "docs", "start", "key"))
+                    first, docs, start = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, docs, start))
+                    place = np.repeat(np.arange(len(first)), docs)
+                    number = take(np.arange(len(own)), first, docs)
+                    begin, end = offsets[number], offsets[number + 1]
+                    mine = own.take(pa.array(number))
+                    # a fingerprint may fit another key by chance: the block itself knows
+                    true = np.array([a == b for a, b in zip(mine.to_pylist(), key.take(pa.array(place)).to_pylist(), strict=True)], dtype=bool)
+                    parts = [payload[a * 4 : b * 4] for a, b in zip(begin[true].tolist(), end[true].tolist(), strict=True)]
+                    out = {"key": mine.filter(pa.array(true)), "start": pa.array((start[place] + begin - offsets[first][place])[true]), "n_tokens": pa.array((end - begin)[true]), "crc": pa.array([zlib.crc32(x) for x in parts], pa.int64())}
                     yield pa.RecordBatch.from_pydict(out if digest_only else out | {"ids": pa.array([bytes(x) for x in parts], pa.binary())})
 
-        return blocks.mapInArrow(cut, f"key {key_type.simpleString()}, start long, n_tokens long, crc long" + ("" if digest_only else ", ids binary"))
-
-    def fetch(self, keys: DataFrame, digest_only: bool = False) -> DataFrame:
-        """The documents of ``keys``, found through the index and read from the places that it names."""
-        at = self.lookup(keys)
-        docs = self.documents(digest_only)
-        return docs.join(at, docs["key"].eqNullSafe(at["key"]) & docs["start"].between(at["first"], at["last"])).drop(at["key"]).drop("first", "last", "count")
+        return named.select("keys", "offsets", "payload", "p_at", "p_docs", "p_start", "p_key").mapInArrow(cut, kind)
 
 
 def write_store(docs: DataFrame, key: str, text: str, tokenizer: str, path: str | None = None, end: int = END_ID) -> TokenStore:
@@ -322,30 +350,36 @@ def write_store(docs: DataFrame, key: str, text: str, tokenizer: str, path: str
     spark = docs.sparkSession
     path = path or new_folder(spark, "tokens")
     small_batches(spark)
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[key].dataType.simpleString()]
-    kind = docs.schema[key].dataType.simpleString()
+    arrow, kind = to_arrow_type(docs.schema[key].dataType), docs.schema[key].dataType.simpleString()
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.list_(arrow)), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
     pairs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = pairs.repartitionByRange(partitions(spark), F.asc_nulls_first("key"), "tie").sortWithinPartitions(F.asc_nulls_first("key"), "tie")
-    blocks = dealt.select(F.spark_partition_id().alias("shard"), "key", "text").mapInArrow(_blocks(arrow, tokenizer, end), f"shard int, block int, keys array<{kind}>, offsets array<bigint>, payload binary")
+    blocks = dealt.select(F.spark_partition_id().alias("shard"), "key", "text").mapInArrow(_blocks(schema, tokenizer, end), f"shard int, block int, keys array<{kind}>, offsets array<bigint>, payload binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/shards")
     shards = spark.read.parquet(f"{path}/shards")
 
-    sizes = shards.select("shard", "block", F.element_at("offsets", -1).alias("n"), F.size("keys").alias("n_keys"))
+    sizes = shards.select("shard", "block", F.element_at("offsets", -1).alias("n"), F.size("keys").alias("n_keys"), F.input_file_name().alias("file"))
     totals = sizes.groupBy("shard").agg(F.sum("n").alias("total"))
     # one row for each shard: the only step in one task, over as many rows as there are shards
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("shard_base"))
     inner = Window.partitionBy("shard").orderBy("block")
-    manifest = sizes.withColumn("before", F.sum("n").over(inner) - F.col("n")).join(bases, "shard").select("shard", "block", (F.col("shard_base") + F.col("before")).alias("base"), "n", "n_keys")
+    manifest = sizes.withColumn("before", F.sum("n").over(inner) - F.col("n")).join(bases, "shard").select("shard", "block", (F.col("shard_base") + F.col("before")).alias("base"), "n", "n_keys", "file")
     manifest.write.parquet(f"{path}/manifest")
     manifest = spark.read.parquet(f"{path}/manifest")
 
     n = manifest.agg(F.sum("n_keys")).first()[0] or 0
     buckets = max(1, -(-n // BUCKET_KEYS))
-    # the last offset is the block's end and belongs to no key
-    entries = shards.join(manifest, ["shard", "block"]).select("base", F.explode(F.arrays_zip("keys", F.slice("offsets", 1, F.size("keys")).alias("at"))).alias("e"))
-    entries = entries.select(F.col("e.keys").alias("key"), (F.col("base") + F.col("e.at")).alias("start"))
-    spans = entries.groupBy("key").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.count("*").alias("count"))
-    keyed = spans.select(_hash(F.col("key")).alias("h"), _fingerprint(F.col("key")).alias("print"), "first", "last", "count").withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    index = keyed.groupBy("bucket").applyInPandas(_build_bucket, "bucket long, sizes array<int>, bits binary, prints binary, first binary, last binary, count binary")
+    # in a block, documents of one key lie side by side: each run of them is a place
+    firsts = F.expr("filter(sequence(0, size(keys) - 1), i -> i = 0 OR NOT keys[i] <=> keys[i - 1])")
+    runs = shards.where(F.size("keys") > 0).join(manifest.select("shard", "block", "base"), ["shard", "block"]).withColumn("firsts", firsts)
+    runs = runs.select("shard", "block", F.posexplode(F.expr("transform(firsts, (f, j) -> named_struct('key', keys[f], 'at', f, 'docs', coalesce(get(firsts, j + 1), size(keys)) - f, 'start', base + offsets[f]))")).alias("j", "r"))
+    places = runs.select(F.col("r.key").alias("key"), F.struct("shard", "block", F.col("r.at").alias("at"), F.col("r.docs").alias("docs"), F.col("r.start").alias("start")).alias("place"))
+    keyed = stored(places.groupBy("key").agg(F.min("place").alias("place"), F.count("*").alias("places")).select(_hash(F.col("key")).alias("h"), _second(F.col("key")).alias("second"), "key", "place", "places"), "keys")
+    several = keyed.where("places > 1")
+    more = places.join(several.select("key", "h", "second", F.col("place").alias("first")), places["key"].eqNullSafe(several["key"])).where("place <> first").select("h", "second", "place.*")
+    more = more if not several.isEmpty() else spark.createDataFrame([], "h long, second long, shard int, block int, at int, docs int, start long")
+    more.write.parquet(f"{path}/more")
+    entries = keyed.select("h", "second", "place.*", F.pmod("h", F.lit(buckets)).alias("bucket")).repartitionByRange(max(1, min(buckets, partitions(spark))), "bucket")
+    index = entries.groupBy("bucket").applyInPandas(_build_bucket, "bucket long, sizes array<int>, bits binary, rest binary, prints binary, " + ", ".join(f"{c} binary" for c in PLACE))
     index.write.parquet(f"{path}/index")
     return TokenStore(spark, path, buckets)
