@@ -49,30 +49,36 @@ def draw(seed: str, n: int, count: int) -> list[int]:
     return out
 
 
-def _times(k: int, x: int, a24: int, n: int) -> tuple[int, int]:
-    """(X : Z) of k times the point with this x on the Montgomery curve: a ladder over k's bits."""
+def _times(k: int, p: tuple[int, int], a24: int, n: int) -> tuple[int, int]:
+    """(X : Z) of k times the point p on the Montgomery curve: a ladder over k's bits.
+
+    The two points of the ladder always differ by p, which stays projective, so nothing is inverted.
+    """
     if k == 1:
-        return x, 1
-    low, high = (x, 1), _double(x, 1, a24, n)
+        return p
+    low, high = p, _double(p, a24, n)
     for bit in bin(k)[3:]:
-        total = _add(low, high, x, n)
-        low, high = (total, _double(*high, a24, n)) if bit == "1" else (_double(*low, a24, n), total)
+        total = _add(low, high, p, n)
+        low, high = (total, _double(high, a24, n)) if bit == "1" else (_double(low, a24, n), total)
     return low
 
 
-def _double(x: int, z: int, a24: int, n: int) -> tuple[int, int]:
-    s, d = (x + z) ** 2 % n, (x - z) ** 2 % n
+def _double(p: tuple[int, int], a24: int, n: int) -> tuple[int, int]:
+    s, d = (p[0] + p[1]) ** 2 % n, (p[0] - p[1]) ** 2 % n
     t = s - d
     return s * d % n, t * (d + a24 * t) % n
 
 
-def _add(p: tuple[int, int], q: tuple[int, int], x: int, n: int) -> tuple[int, int]:
+def _add(p: tuple[int, int], q: tuple[int, int], difference: tuple[int, int], n: int) -> tuple[int, int]:
     u, v = (p[0] - p[1]) * (q[0] + q[1]), (p[0] + p[1]) * (q[0] - q[1])
-    return (u + v) ** 2 % n, x * (u - v) ** 2 % n
+    return difference[1] * (u + v) ** 2 % n, difference[0] * (u - v) ** 2 % n
+
 
+def stage_one(curves: DataFrame, n: int, powers: list[int], compute_gcd: bool = True) -> DataFrame:
+    """curves(curve, a24, x1 in hex) as (curve, result in hex, status).
 
-def stage_one(curves: DataFrame, n: int, powers: list[int]) -> DataFrame:
-    """curves(curve, a24, x1 in hex) as (curve, result in hex, status): 2 if the result is a proper factor of n, else 1.
+    Each curve's point is multiplied by all prime powers; then the result is the greatest common divisor of its Z and n,
+    with status 2 if that is a proper factor and 1 if not. Without ``compute_gcd`` the result is Z itself, status 0.
 
     The prime powers are a parameter of a few thousand numbers; curves are independent, an Arrow batch at a time.
     """
@@ -81,19 +87,13 @@ def stage_one(curves: DataFrame, n: int, powers: list[int]) -> DataFrame:
         for batch in batches:
             results, status = [], []
             for a24, x1 in zip(batch.column("a24").to_pylist(), batch.column("x1").to_pylist(), strict=True):
-                x, z = int(x1, 16), 1
+                a24, point = int(a24, 16), (int(x1, 16), 1)
                 for q in powers:
-                    if math.gcd(z, n) == n:
-                        break
-                    # the ladder wants an affine x; a denominator that cannot be inverted is the factor itself
-                    if z != 1:
-                        if (g := math.gcd(z, n)) != 1:
-                            break
-                        x, z = x * pow(z, -1, n) % n, 1
-                    x, z = _times(q, x, int(a24, 16), n)
-                g = math.gcd(z, n)
+                    point = _times(q, point, a24, n)
+                z = point[1] % n
+                g = math.gcd(z, n) if compute_gcd else z
                 results.append(f"{g:x}")
-                status.append(2 if 1 < g < n else 1)
+                status.append((2 if 1 < g < n else 1) if compute_gcd else 0)
             yield pa.RecordBatch.from_pydict({"curve": batch.column("curve"), "result": results, "status": pa.array(status, pa.int32())})
 
     return curves.mapInArrow(run, "curve long, result string, status int")

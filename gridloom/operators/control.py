@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import sorting
+
 
 def match_workers(workers: DataFrame, work: DataFrame) -> DataFrame:
     """(client, chunk): open chunks whose framework the worker supports; ``frameworks`` is an array.
 
-    Each chunk goes to one worker: chunks and workers of a framework are numbered and dealt round.
+    Each chunk goes to one worker: chunks and workers of a framework are numbered and dealt round. Frameworks are few, so
+    their workers are numbered by one sort of all.
     """
     able = workers.select("client", F.explode("frameworks").alias("framework"))
     n = able.groupBy("framework").agg(F.count("*").alias("n"))
-    seats = able.withColumn("seat", F.row_number().over(Window.partitionBy("framework").orderBy("client")) - 1)
+    seats = sorting.rank_in_groups(able, "framework", F.asc("client"), name="seat").withColumn("seat", F.col("seat") - 1)
     dealt = work.join(n, "framework").select("chunk", "framework", F.pmod("chunk", F.col("n")).alias("seat"))
     return dealt.join(seats, ["framework", "seat"]).select("client", "chunk", "framework")
 
@@ -38,12 +41,27 @@ def queue_positions(work: DataFrame, queue: str, order: list[str], name: str = "
     return work.withColumn(name, F.row_number().over(Window.partitionBy(queue).orderBy(*order)))
 
 
-def queue_statistics(work: DataFrame, queue: str, created: str, now: int) -> DataFrame:
-    """(queue, size, oldest_age, mean_age): ages in whole seconds."""
+def queue_statistics(work: DataFrame, queue: str, created: str, now: int, attempts: str | None = None) -> DataFrame:
+    """(queue, size, oldest_age, mean_age): ages in whole seconds; with ``attempts`` their hundredfold mean too."""
+    if attempts:
+        tried = work.groupBy(queue).agg(F.floor(F.sum(attempts) * 100 / F.count("*")).alias("mean_attempts"))
+        return queue_statistics(work, queue, created, now).join(tried, queue)
     age = F.lit(now) - F.col(created)
     return work.groupBy(queue).agg(F.count("*").alias("size"), F.floor(F.max(age) / 1_000_000).alias("oldest_age"), F.floor(F.sum(age) / F.count("*") / 1_000_000).alias("mean_age"))
 
 
+def queue_totals(statistics: DataFrame) -> DataFrame:
+    """Of all queues together: how many, their chunks, the largest and the oldest age."""
+    return statistics.agg(F.count("*").alias("queues"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("chunks"), F.max("size").alias("largest"), F.max("oldest_age").alias("oldest_age"))
+
+
+def first_workers(workers: DataFrame, work: DataFrame) -> DataFrame:
+    """(client, chunk): each open chunk with the first worker (by client) that supports its framework."""
+    able = workers.select("client", F.explode("frameworks").alias("framework"))
+    first = able.groupBy("framework").agg(F.min("client").alias("client"))
+    return work.join(first, "framework").select("client", "chunk", "framework")
+
+
 def evict_oldest(work: DataFrame, queue: str, order: list[str], cap: int, percent: int = 10) -> DataFrame:
     """What a full queue (``cap`` or more) would drop: the oldest ``percent`` in a hundred, rounded up."""
     size = F.count("*").over(Window.partitionBy(queue))
