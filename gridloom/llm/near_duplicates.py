@@ -29,11 +29,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm.common import Scratch, small_batches, stored
 
 #: Words whose hashes a worker keeps at most.
-CACHE_WORDS = 500_000
 #: Buckets for shingle counts: about so many for each document, within these bounds (powers of two). Any order is exact;
 #: better counts make shorter lists.
 BUCKETS_A_DOC = 16
@@ -44,13 +44,19 @@ CHUNK = 4096
 SALTS = 8
 #: Prefixes of at most so many shingles keep 16 bits of each for the second and third order, longer ones 32.
 SHORT_PREFIX = 64
-#: Keys that are broadcast at most, of 8 bytes each; beyond, Spark shuffles the texts.
+#: Rows of a key and a number that are broadcast at most; beyond, Spark shuffles, with hot keys salted.
 BROADCAST_KEYS = 500_000
+JOIN_SALTS = 16
+#: Names of sets that a task remembers, so that it writes the prefixes of a copied text once.
+SEEN = 1 << 16
 
 _U = np.uint64
 #: Odd multipliers.
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93]
-_words: dict[bytes, int] = {}
+#: Bytes of a text that are hashed at once; longer words are hashed alone.
+HASHED = 1 << 16
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -58,15 +64,45 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
+def _powers(base: int) -> np.ndarray:
+    return np.concatenate([[_U(1)], np.cumprod(np.full(HASHED, base, dtype=_U))])
+
+
+#: A number for each byte, powers of an odd number and of its inverse modulo 2**64.
+_BYTES, _POWERS, _BACK = _mixed(_mixed(np.arange(1, 257, dtype=_U) * _U(_ODD[4]), 1), 2), _powers(_ODD[0]), _powers(pow(_ODD[0], -1, 1 << 64))
+
+
+def word_codes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word: ASCII letters lower case, words parted by ASCII white space.
+
+    A word's hash is the sum of its bytes' numbers times the power of their place in it, so all words come out of one
+    running sum over the text.
+    """
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8)))
+    starts, ends = edges[0::2], edges[1::2]
+    out = np.empty(len(starts), dtype=_U)
+    first = 0
+    while first < len(starts):
+        last = int(np.searchsorted(ends, starts[first] + HASHED, side="right"))
+        if last == first:
+            out[first] = xxhash.xxh64_intdigest(data[starts[first] : ends[first]].tobytes())
+            first += 1
+            continue
+        base = starts[first]
+        some = _BYTES[data[base : ends[last - 1]]]
+        sums = np.zeros(len(some) + 1, dtype=_U)
+        np.cumsum(some * _POWERS[: len(some)], out=sums[1:])
+        out[first:last] = (sums[ends[first:last] - base] - sums[starts[first:last] - base]) * _BACK[starts[first:last] - base]
+        first = last
+    return _mixed(out, 3)
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The text's set of shingles: sorted distinct 64-bit hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters, ASCII white space
-    if not words:
-        return np.zeros(0, dtype=_U)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    get, digest = _words.get, xxhash.xxh64_intdigest
-    codes = np.array([get(w) or _words.setdefault(w, digest(w)) for w in words], dtype=_U)
+    codes = word_codes(text)
+    if not len(codes):
+        return codes
     if len(codes) < width:
         return np.array([xxhash.xxh64_intdigest(codes.tobytes(), seed=width)], dtype=_U)
     n = len(codes) - width + 1
@@ -163,9 +199,9 @@ def nodes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
         chunks = [(i // CHUNK, counts[i : i + CHUNK]) for i in range(0, size, CHUNK) if counts[i : i + CHUNK].any()]
         if chunks:
             none = pa.nulls(len(chunks))
-            yield pa.RecordBatch.from_arrays([none.cast(key_type[0]) if key_type else none, none.cast(pa.int32()), none.cast(pa.int64()), pa.array([c for c, _ in chunks], pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array([_pack(x) for _, x in chunks], pa.binary())], names=["key", "n", "node", "chunk", "salt", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(chunks), key_type), none.cast(pa.int32()), none.cast(pa.int64()), pa.array([c for c, _ in chunks], pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array([_pack(x) for _, x in chunks], pa.binary())], names=["key", "n", "node", "chunk", "salt", "counts"])
 
-    key_type = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]]
+    key_type = to_arrow_type(docs.schema["key"].dataType)
     found = stored(docs.mapInArrow(run, f"key {kind}, n int, node long, chunk int, salt int, counts binary"), "shingle-sets")
     return found.where(F.col("chunk").isNull()).select("key", "n", "node"), found.where(F.col("chunk").isNotNull()).select("chunk", "salt", "counts")
 
@@ -205,10 +241,15 @@ def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sets = [s for t in batch.column("text").to_pylist() if len(s := shingles(t, join.width))]
+            names = [node_of(s) for s in sets]
+            new = dict(zip(reversed(names), reversed(range(len(names))), strict=True))
+            names, sets = [x for x in new if x not in seen], [sets[i] for x, i in new.items() if x not in seen]
+            seen = {*seen, *names} if len(seen) < SEEN else set(names)
             low = lambda o: [join.packed(join.first(s, ranks, o)) for s in sets]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "first": pa.array([join.first(s, ranks, 0).view(np.int64) for s in sets], pa.list_(pa.int64())), "second": pa.array(low(1), pa.binary()), "third": pa.array(low(2), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "first": pa.array([join.first(s, ranks, 0).view(np.int64) for s in sets], pa.list_(pa.int64())), "second": pa.array(low(1), pa.binary()), "third": pa.array(low(2), pa.binary())})
 
     return docs.select("text").mapInArrow(run, "node long, n int, first array<bigint>, second binary, third binary")
 
@@ -266,23 +307,35 @@ def connected(links: DataFrame) -> DataFrame:
     """
     now, before = Scratch(), Scratch()
     edges = now.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    state, n = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _labelled(both.where(F.col("v") > F.col("u")), least, "u", "v", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _labelled(large, least, "u", "v", n).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         before.drop(links.sparkSession)
         now, before = before, now
         edges = now.stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = sums[0]
         if sums == state:
             break
         state = sums
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, key: str, salt: str, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``labels`` (one row a key, ``n`` at most), where a key may have any share of the rows.
+
+    A small ``labels`` is broadcast. A larger one is repeated for each salt, and a key's rows are dealt out by ``salt``.
+    """
+    if n <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(labels), key, how)
+    many = labels.withColumn("salted", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    return rows.withColumn("salted", F.pmod(F.xxhash64(salt), F.lit(JOIN_SALTS)).cast("int")).join(many, [key, "salted"], how).drop("salted")
+
+
 def _ordered(x, y) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -375,9 +428,38 @@ def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "te
     scratch.drop(spark)
 
     if repeated:  # a row without words belongs to its key's other rows
-        keyed = keyed.join(several, "key", "left").select("key", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("one")).alias("node"))
-        found = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        keyed = keyed.join(several, "key", "left").select("key", "n", F.when((F.col("n") > 0) | F.col("one").isNull(), F.col("node")).otherwise(F.col("one")).alias("node"), ((F.col("n") > 0) | F.col("one").isNotNull()).alias("linked"))
     else:
-        found = keyed.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    groups = found.where(F.col("root").isNotNull() & F.col("key").isNotNull()).groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("members")).where("members > 1").select("root", "least")
-    return found.join(groups, "root", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "key")).alias("component_id"))
+        keyed = keyed.withColumn("linked", F.col("n") > 0)
+    # the least key of a set, of a component, and back: partial sums first, so that a large group is a few rows
+    own = keyed.where("linked AND key IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("members"))
+    n_roots = roots.count()
+    own = stored(_labelled(own, roots, "node", "least", n_roots, "left").select("node", F.coalesce("root", "node").alias("root"), "least", "members"), "members")
+    groups = stored(own.groupBy("root").agg(F.min("least").alias("least"), F.sum("members").alias("members")).where("members > 1").select("root", "least"), "groups")
+    labels = stored(_labelled(own.select("node", "root"), groups, "root", "node", groups.count()).select("node", "least"), "labels")
+    found = _labelled(keyed.select("key", "n", F.when(F.col("linked"), F.col("node")).alias("node")), labels, "node", "key", labels.count(), "left")
+    return found.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "key")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest id (rows without one come first).
+
+    A row is known by its id and the hash of its text, so different texts of one id are judged each for itself. Rows
+    that agree in both are copies of each other; of these the one stays whose JSON text comes first. Texts without
+    words are in no group and all stay. Columns stay as they are.
+    """
+    spark = docs.sparkSession
+    row = F.struct(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    named = docs.select(row.alias("name"), F.struct(*docs.columns).alias("row"))
+    found = stored(components(named.select("name", F.col("row")[text].alias("text")), join, "name", "text", one_by_key=False).where("n_shingles > 0"), "components")
+    gone = stored(found.where(F.col("component_id") < F.col("name")).select("name").distinct(), "gone")
+    # names are compared null-safe, by their two parts
+    parts = lambda c: [F.coalesce(F.col(f"{c}.id").cast("string"), F.lit("-")).alias("a"), F.col(f"{c}.tie").alias("b")]
+    marked = named.select(*parts("name"), "row")
+    kept = marked.join(F.broadcast(gone.select(*parts("name"))) if gone.count() <= BROADCAST_KEYS else gone.select(*parts("name")), ["a", "b"], "left_anti")
+    again = stored(found.groupBy("name").count().where("count > 1").select(*parts("name")), "repeated")
+    if again.isEmpty():
+        return kept.select("row.*")
+    again = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    first = kept.join(again, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(again, ["a", "b"], "left_anti").select("row.*").unionByName(first.select("row.*"))
