@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one the encoded documents.
 ``run`` writes each stage's result into the shared folder and reads it again.
+
+Defined results, stage by stage. Language: documents with a null or empty text, without a letter, or with less than
+``LEAST_SCORE`` in common with every language go; an id or source may be null, and repeated rows are judged each for
+themselves. Lines: a null source is no site; a null text stays null. Near copies: one row of each group stays, the one
+with the smallest id; repeated rows are a group, different texts of one id are not; texts without words all stay. Mixing:
+a null source is a source like others; rows that share an id are repeated equally often. Encoding: a null text has no
+pieces. An empty table stays empty. Extra columns pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +23,6 @@ from gridloom.llm.common import stored, table
 
 #: Texts whose profile has less than this in common with every language are rejected.
 LEAST_SCORE = 0.2
-#: Keys of removed documents that are broadcast at most; beyond, Spark shuffles the documents.
-BROADCAST_KEYS = 500_000
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +38,8 @@ def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, 0.8); rows without an id stay."""
-    found = near_duplicates.components(docs, near_duplicates.Join(width=5, num=80), one_by_key=False)
-    gone = stored(found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """One document of each group of near copies (five words, 0.8): see ``near_duplicates.one_of_each``."""
+    return near_duplicates.one_of_each(docs, near_duplicates.Join(width=5, num=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
