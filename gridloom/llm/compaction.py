@@ -6,8 +6,10 @@ needs, up to the target size, so a row is rewritten about once a tier. Merging r
 files: nothing is shuffled, and all merges of a round are one job.
 
 A manifest version names the files of one state of the table. It is written under a name of its own and renamed to its
-version number, which fails if another writer took that number: a commit is there as a whole or not at all. Readers take
-the highest version. Files that no version kept names any more are deleted.
+version number, which fails if another writer took that number: a commit is there as a whole or not at all. (HDFS and
+local folders rename so; a store that overwrites on rename needs a conditional put in ``commit``.) Readers take the
+highest version. The last ``KEEP_VERSIONS`` versions stay, so a reader planned on one of them keeps its files; files that
+only older ones name are deleted, and ``vacuum`` deletes those that no version names (of commits that were lost).
 
 Defined results: rows keep every column and value, nulls and repeated rows included; their order is not kept. An empty
 arrival commits a version without new files. Reading a table without rows gives the schema of the first arrival.
@@ -16,7 +18,9 @@ arrival commits a version without new files. Reading a table without rows gives
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,7 +33,11 @@ FANOUT = 4
 SMALL_BYTES = 1 << 20
 #: Merges that go into one job at most; more take several jobs.
 MERGES_A_JOB = 64
-KEEP_VERSIONS = 1
+#: Rows that lie side by side and come in one arrival.
+RUN_ROWS = 64
+KEEP_VERSIONS = 4
+#: Files that no version names are left alone for so long: their writer may still commit.
+ORPHAN_SECONDS = 86_400
 
 
 class Conflict(RuntimeError):
@@ -59,11 +67,17 @@ class ShardedTable:
 
     def manifest(self, version: int | None = None) -> dict:
         """``version``, ``schema`` and ``files`` (path, bytes) of one state; the newest unless told otherwise."""
-        known = self.versions()
-        if not known:
-            return {"version": 0, "schema": None, "files": []}
-        rows = self.spark.read.text(f"{self.path}/manifest/{version or known[-1]:012d}.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        for _ in range(100):
+            known = self.versions()
+            if not known:
+                return {"version": 0, "schema": None, "files": []}
+            try:
+                rows = self.spark.read.text(f"{self.path}/manifest/{version or known[-1]:012d}.json", wholetext=True).collect()
+                return json.loads(rows[0][0])
+            except Exception:  # cleaned between listing and reading: there is a newer one
+                if version is not None or self.versions() == known:
+                    raise
+        raise RuntimeError(f"{self.path}: versions change faster than they can be read")
 
     def commit(self, base: dict, files: list[dict], schema: str) -> dict:
         """The state after ``base``; raises Conflict if there is one already."""
@@ -88,7 +102,12 @@ class ShardedTable:
     def _write(self, df: DataFrame) -> list[dict]:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         df.write.parquet(folder)
+        return self._files(folder)
+
+    def _files(self, folder: str) -> list[dict]:
         fs, p = self._fs(folder)
+        if not fs.exists(p):
+            return []
         found = [(x.getPath().toString(), x.getLen()) for x in fs.listStatus(p)]
         return [{"path": name, "bytes": size} for name, size in sorted(found) if name.endswith(".parquet")]
 
@@ -104,11 +123,26 @@ class ShardedTable:
 
     def append(self, arrival: DataFrame) -> dict:
         """Adds ``arrival`` as small files; tries again on the newest version if another writer came first."""
-        files = self._write(arrival)
+        return self._append(self._write(arrival), arrival.schema.json())
+
+    def append_dealt(self, table: DataFrame, arrivals: int) -> Iterator[dict]:
+        """Adds ``table`` in so many arrivals, which one pass over it writes; yields each one's state.
+
+        Rows are dealt out in runs, by a hash of where they lie, whatever files the table has.
+        """
+        number, run = (next(x for x in (f"{name}{i}" for i in range(len(table.columns) + 1)) if x not in table.columns) for name in ("arrival", "run"))
+        at = F.monotonically_increasing_id()
+        dealt = table.withColumn(run, at).withColumn(number, F.pmod(F.xxhash64(F.floor(F.col(run) / RUN_ROWS)), F.lit(arrivals)).cast("int")).drop(run)
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        dealt.write.partitionBy(number).parquet(folder)
+        for i in range(arrivals):
+            yield self._append(self._files(f"{folder}/{number}={i}"), table.schema.json())
+
+    def _append(self, files: list[dict], schema: str) -> dict:
         while True:
             base = self.manifest()
             try:
-                return self.commit(base, base["files"] + files, base["schema"] or arrival.schema.json())
+                return self.commit(base, base["files"] + files, base["schema"] or schema)
             except Conflict:
                 continue
 
@@ -168,6 +202,21 @@ class ShardedTable:
             fs, p = self._fs(f"{self.path}/manifest/{v:012d}.json")
             fs.delete(p, False)
 
+    def vacuum(self, older_than: float = ORPHAN_SECONDS) -> list[str]:
+        """Deletes data files that no version names and that are older than so many seconds; returns their names."""
+        fs, p = self._fs(f"{self.path}/data")
+        if not fs.exists(p):
+            return []
+        named = {x["path"] for v in self.versions() for x in self.manifest(v)["files"]}
+        found, gone, now = fs.listFiles(p, True), [], time.time()
+        while found.hasNext():
+            x = found.next()
+            name = x.getPath().toString()
+            if name.endswith(".parquet") and name not in named and now - x.getModificationTime() / 1000 > older_than:
+                fs.delete(x.getPath(), False)
+                gone.append(name)
+        return gone
+
     def shards(self) -> DataFrame:
         """``file, rows``: what the newest version's files hold."""
         return self.read().groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
@@ -180,14 +229,8 @@ def _schema(text: str):
 
 
 def ingest(table: DataFrame, path: str, arrivals: int, target: int = TARGET_BYTES) -> ShardedTable:
-    """Appends the files of ``table`` in so many arrivals, compacting after each as tiers fall due."""
-    spark = table.sparkSession
-    out = ShardedTable(spark, path, target)
-    files = sorted(table.inputFiles())
-    step = -(-len(files) // arrivals)
-    for i in range(0, len(files), step):
-        out.append(spark.read.schema(table.schema).parquet(*files[i : i + step]))
+    """Appends ``table`` in so many arrivals, compacting after each as tiers fall due."""
+    out = ShardedTable(table.sparkSession, path, target)
+    for _ in out.append_dealt(table, arrivals):
         out.compact()
-    if not files:
-        out.append(table)
     return out
