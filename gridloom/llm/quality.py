@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule reads features of a text that are computed when first asked for. On a sample of bounded size the cascade
-measures what each rule costs alone and how many documents it rejects, and then runs the rules in descending order of
-rejections per second, stopping at the first that rejects. The order changes the time only: a document is kept if no
-rule rejects it.
+measures what each rule costs and which documents it rejects. The rule with the most rejections per second comes first;
+the next one is chosen by what it rejects of the documents that are left then, and so on. The rules run in this order
+and stop at the first that rejects, so features of later rules are never computed for rejected documents. The order
+changes the time only: a document is kept if no rule rejects it.
 
 Defined results: a null or empty text has no words and all counts 0; the base rule rejects it. Repeated rows are judged
 each for themselves. All columns but the text pass through untouched, whatever their names.
@@ -11,7 +12,6 @@ each for themselves. All columns but the text pass through untouched, whatever t
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,8 +29,9 @@ SAMPLE_DOCS = 400
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 WINDOW = 8
-_UPPER, _LETTER = re.compile("[A-Z]"), re.compile("[A-Za-z]")
 _UP, _ALL = bytes(set(range(256)) - set(range(65, 91))), bytes(set(range(256)) - set(range(65, 91)) - set(range(97, 123)))
+_DIGITS = bytes(set(range(256)) - set(range(48, 58)))
+BULLETS, ELLIPSES = ("-".encode(), "*".encode(), "•".encode()), ("...".encode(), "…".encode())
 
 
 class Features:
@@ -75,6 +76,22 @@ class Features:
     def n_letters(self) -> int:
         return len(self.raw.translate(None, _ALL))
 
+    @cached_property
+    def n_digits(self) -> int:
+        return len(self.raw.translate(None, _DIGITS))
+
+    @cached_property
+    def n_braces(self) -> int:
+        return self.text.count("{") + self.text.count("}")
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(x.lstrip().startswith(BULLETS) for x in self.lines)
+
+    @cached_property
+    def n_trailing_off(self) -> int:
+        return sum(x.rstrip().endswith(ELLIPSES) for x in self.lines)
+
     @cached_property
     def n_repeat_words(self) -> int:
         return repeated(self.words)
@@ -124,30 +141,56 @@ RULES = [
     Rule("short_words", lambda x: 10 * x.word_chars < 25 * x.n_words),
     Rule("long_words", lambda x: x.word_chars > 15 * x.n_words),
     Rule("capitals", lambda x: 100 * x.n_upper > 60 * x.n_letters),
+    Rule("digits", lambda x: 100 * x.n_digits > 40 * x.word_chars),
+    Rule("braces", lambda x: 100 * x.n_braces > 5 * x.word_chars),
+    Rule("bullets", lambda x: len(x.lines) >= 3 and 100 * x.n_bullets > 90 * len(x.lines)),
+    Rule("trailing_off", lambda x: len(x.lines) >= 3 and 100 * x.n_trailing_off > 30 * len(x.lines)),
 ]
 
 
-def measure(docs: DataFrame, rules: list[Rule], text: str = "text", sample: int = SAMPLE_DOCS, seed: int = 7) -> dict[str, tuple[float, int]]:
-    """Seconds and rejections of each rule alone, over about ``sample`` documents from all parts of the table."""
+@dataclass(frozen=True)
+class Measured:
+    """Of a sample: seconds of each rule, and how many documents each set of rules rejects (bit i: rule i)."""
+
+    seconds: dict[str, float]
+    rejected: dict[int, int]
+
+
+def measure(docs: DataFrame, rules: list[Rule], text: str = "text", sample: int = SAMPLE_DOCS, seed: int = 7, known: tuple[str, ...] = ()) -> Measured:
+    """Over about ``sample`` documents from all parts of the table; features that are ``known`` anyway cost nothing."""
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for rule in rules:
-                began = time.perf_counter()
-                hits = sum(rule.rejects(Features(x)) for x in texts)
-                yield pa.RecordBatch.from_pydict({"rule": [rule.name], "s": [time.perf_counter() - began], "hits": pa.array([hits], pa.int64())})
+            texts, seconds, sets = batch.column(0).to_pylist(), [0.0] * len(rules), {}
+            for t in texts:
+                bits = 0
+                for i, rule in enumerate(rules):
+                    x = Features(t)
+                    for name in known:
+                        getattr(x, name)
+                    began = time.perf_counter()
+                    bits |= rule.rejects(x) << i
+                    seconds[i] += time.perf_counter() - began
+                sets[bits] = sets.get(bits, 0) + 1
+            yield pa.RecordBatch.from_pydict({"rule": [*range(len(rules)), *[-1] * len(sets)], "bits": pa.array([0] * len(rules) + list(sets), pa.int64()), "s": [*seconds, *map(float, sets.values())]}, schema=pa.schema([("rule", pa.int32()), ("bits", pa.int64()), ("s", pa.float64())]))
 
     some = docs.select(F.col(text).alias("t")).sample(fraction=min(1.0, sample / max(1, n)), seed=seed)
-    found = some.mapInArrow(run, "rule string, s double, hits long").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"))
-    return {r["rule"]: (r["s"], r["hits"]) for r in found.collect()}  # one row for each rule
+    found = some.mapInArrow(run, "rule int, bits long, s double").groupBy("rule", "bits").agg(F.sum("s").alias("s")).collect()  # a row for each rule, and for each set of rules in the sample
+    return Measured({rules[r["rule"]].name: r["s"] for r in found if r["rule"] >= 0}, {r["bits"]: int(r["s"]) for r in found if r["rule"] < 0})
 
 
-def ordered(rules: list[Rule], measured: dict[str, tuple[float, int]]) -> list[Rule]:
-    """Most rejections per second first; rules without figures last, as given."""
-    gain = lambda r: measured[r.name][1] / max(measured[r.name][0], 1e-9) if r.name in measured else -1.0
-    return sorted(rules, key=lambda r: -gain(r))
+def ordered(rules: list[Rule], measured: Measured) -> list[Rule]:
+    """Most rejections per second first, of the documents that the rules before have left; then the cheapest first."""
+    left, chain, open_ = dict(measured.rejected), [], list(range(len(rules)))
+    seconds = lambda i: max(measured.seconds.get(rules[i].name, 0.0), 1e-9)
+    while open_:
+        gain = {i: sum(n for bits, n in left.items() if bits >> i & 1) for i in open_}
+        best = min(open_, key=lambda i: (-gain[i] / seconds(i), seconds(i), i))
+        chain.append(rules[best])
+        open_.remove(best)
+        left = {bits: n for bits, n in left.items() if not bits >> best & 1}
+    return chain
 
 
 def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", order: list[Rule] | None = None, features: tuple[str, ...] = ()) -> DataFrame:
@@ -169,10 +212,9 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text"
                 failed.append(next((r.name for r in chain if r.rejects(x)), None))
                 for f in features:
                     values[f].append(getattr(x, f))
-            out = {c: batch.column(c) for c in names if c != text or keep_text}
+            out = {c: batch.column(c) for c in names}
             yield pa.RecordBatch.from_pydict(out | {"kept": pa.array([x is None for x in failed]), "failed": pa.array(failed, pa.string())} | {f: pa.array(v, pa.int64()) for f, v in values.items()})
 
-    keep_text = True
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, schema + ", kept boolean, failed string" + "".join(f", {f} long" for f in features))
 
@@ -181,7 +223,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The cascade's verdict beside the base measures: ``key, n_words, word_chars, ..., base_failed, kept``."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     small_batches(docs.sparkSession)
-    chain = ordered(RULES, measure(docs, RULES, text))
+    chain = ordered(RULES, measure(docs, RULES, text, known=names))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,8 +54,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL spares short lines, and documents of mostly shared lines; the operator by itself and the pipeline do not
-    return line_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), min_chars=line_dedup.MIN_CHARS, least_share=line_dedup.SQL_LEAST_SHARE)
+    return line_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +78,16 @@ covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, generate_serie
 m AS (
     SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
-        coalesce(covered.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters
+        coalesce(covered.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
+        length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, length(regexp_replace(text, '[^{}]', '', 'g')) AS n_braces,
+        len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets, len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_trailing_off
     FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines
-        OR 10 * word_chars < 25 * n_words OR word_chars > 15 * n_words OR 100 * n_upper > 60 * n_letters) AS kept
+        OR 10 * word_chars < 25 * n_words OR word_chars > 15 * n_words OR 100 * n_upper > 60 * n_letters
+        OR 100 * n_digits > 40 * word_chars OR 100 * n_braces > 5 * word_chars OR n_lines >= 3 AND 100 * n_bullets > 90 * n_lines OR n_lines >= 3 AND 100 * n_trailing_off > 30 * n_lines) AS kept
 FROM m
 """
 
