@@ -41,10 +41,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again, which cuts its lineage."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet into the shared folder and read again, which cuts its lineage.
+
+    Small results get few files: partitions are joined up to the advisory size, not only down to one for each core.
+    """
+    spark, name_ = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    path, before = new_folder(spark, name), spark.conf.get(name_)
+    spark.conf.set(name_, "false")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(name_, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

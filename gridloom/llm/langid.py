@@ -6,7 +6,8 @@ each n-gram of the document is displaced, and the greatest displacement where th
 language wins; equal distances go to the alphabetically first.
 
 Profiles are learned from a sample of about ``SAMPLE_DOCS`` labelled documents for each language, drawn from all parts
-of the table by a hash of the key; every document is judged by its whole text.
+of the table by a hash of the key, of the ``MAX_LANGUAGES`` most frequent labels; every document is judged by its whole
+text.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0, and so is every text if nothing could
 be learned. Rows without a label are not learned from. Repeated rows are judged each for themselves.
@@ -27,6 +28,8 @@ from gridloom.llm.common import small_batches
 
 PROFILE = 400
 SAMPLE_DOCS = 1500
+#: Labels that are learned at most, the most frequent ones: a label column may be dirty.
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -90,7 +93,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Profiles of all values of ``lang``, without the held-out documents."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return Model([], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.int64), size)
     # of each language a share by hash; the more documents, the smaller

@@ -63,17 +63,19 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, key: st
     docs = docs.drop("copy", "mix_key")
     found = rates(docs, weights, text, source, epochs)
     # a mean over MAX_RATE is the sum of several draws with equal parts of it
-    table = found.select(F.col("source").alias("__source"), F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int").alias("__draws"), "rate")
-    table = table.withColumn("rate", F.col("rate") / F.col("__draws")).withColumn("__cdf", F.expr(_CUMULATIVE)).drop("rate")
+    table = found.select("source", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int").alias("draws"), "rate")
+    table = table.withColumn("rate", F.col("rate") / F.col("draws")).withColumn("cdf", F.expr(_CUMULATIVE)).drop("rate")
     table = F.broadcast(table) if found.count() <= BROADCAST_SOURCES else table
-    joined = docs.join(table, docs[source].eqNullSafe(table["__source"]))
-    draw = _uniform(f"`{key}`", seed, "draw")
-    more = _uniform(f"`{key}`", seed, "draw").replace("concat_ws('/', ", "concat_ws('/', CAST(d AS STRING), ")
-    times = F.expr(f"CASE WHEN __draws = 1 THEN size(filter(__cdf, c -> c <= {draw})) ELSE aggregate(sequence(1, __draws), 0, (acc, d) -> acc + size(filter(__cdf, c -> c <= {more}))) END")
-    counted = joined.select(*[docs[c] for c in docs.columns], times.alias("__times")).where(F.col("__times") > 0)
-    copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("copy"))
-    place = F.expr(f"substring(sha2(concat_ws('/', '{seed}', 'place', coalesce(CAST(`{key}` AS STRING), ''), CAST(copy AS STRING)), 256), 1, 16)")
-    return copies.withColumn("mix_key", place).orderBy("mix_key")
+    # the row in one column, so that its names meet no others
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("of"), F.col(key).cast("string").alias("id"))
+    joined = rows.join(table, rows["of"].eqNullSafe(table["source"]))
+    draw = _uniform("id", seed, "draw")
+    more = draw.replace("concat_ws('/', ", "concat_ws('/', CAST(d AS STRING), ")
+    times = F.expr(f"CASE WHEN draws = 1 THEN size(filter(cdf, c -> c <= {draw})) ELSE aggregate(sequence(1, draws), 0, (acc, d) -> acc + size(filter(cdf, c -> c <= {more}))) END")
+    counted = joined.select("row", "id", times.alias("times")).where(F.col("times") > 0)
+    copies = counted.select("row", "id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    place = F.expr(f"substring(sha2(concat_ws('/', '{seed}', 'place', coalesce(id, ''), CAST(copy AS STRING)), 256), 1, 16)")
+    return copies.select("row.*", "copy", place.alias("mix_key")).orderBy("mix_key")
 
 
 ORACLE_SQL = f"""
