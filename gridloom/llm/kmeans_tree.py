@@ -1,16 +1,23 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a sample of bounded size; its leaves hold all vectors. A search keeps the tree's nodes in a
-priority queue by an upper bound of the inner product inside them (query times centre, plus the query's length times
-the node's radius), opens the best one, and so meets the leaves best first. How many leaves it visits is calibrated:
-for some queries the true neighbours are found by brute force, and visits are widened until the wanted share of those
-neighbours lies in the visited leaves.
+The tree is fitted on a sample of bounded size. Leaves that hold many vectors of the whole table are split again, each on
+a sample of its own, until leaves are small or the tree has ``MAX_NODES`` nodes (it is sent to all tasks); so its depth
+grows with the table. The leaves hold all vectors.
 
-Spark deals vectors and visits out by leaf; a leaf with many vectors is split into several parts, each visited by all
-its queries. Every part gives its best ``k`` for a query, and Spark keeps the best of all parts.
+A search keeps the tree's nodes in a priority queue, by the query's inner product with a node's centre plus a share of
+the query's length times the node's radius, opens the best one, and so meets the leaves best first. That share, and how
+many leaves are visited, are calibrated: for some queries the true neighbours are found by brute force, and visits are
+widened until the wanted share of those neighbours lies in the visited leaves.
 
-Defined results: vectors that are null, all zero, of another length than most, or hold null or non-finite parts take no
-part, nor do rows without an id. Rows that repeat both id and vector count once. Equal scores go to the smaller id.
+Spark deals vectors out by shelf (neighbouring leaves, or part of a large one, of bounded size) and the queries of a
+shelf by blocks of bounded size; a task compares one block with one shelf, so neither a crowded leaf nor many queries
+meet in one task. Each pair gives a query's best ``k``, and Spark keeps the best of all.
+
+Of equal vectors only the ``k + 1`` smallest ids can be among a query's neighbours, so only these are dealt out.
+
+Defined results: vectors that are null, all zero, or hold null or non-finite parts take no part, nor do rows without an
+id. Vectors of different lengths have no inner product: each length is searched by itself. Rows that repeat both id and
+vector count once. Equal scores go to the smaller id. An empty table has no neighbours. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,17 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import small_batches, stored
 
 #: Vectors that the tree is fitted on, at most about; children of a node; sampled vectors in a leaf, about.
 FIT_VECTORS = 20_000
 BRANCH = 8
-LEAF_VECTORS = 160
+LEAF_VECTORS = 64
+#: Leaves with more vectors are split again, on about so many of them, while the tree has room.
+SPLIT_VECTORS, SPLIT_SAMPLE = 2048, 2000
+MAX_NODES = 32_768
 #: Queries that visits are calibrated on, about, and the share of their true neighbours that visits must reach.
 CALIBRATION_QUERIES = 128
-RECALL = 0.97
-#: Vectors of a leaf that one task holds at once, about.
-PART_VECTORS = 1024
+RECALL = 0.95
+#: Shares of the radius that are tried.
+RADIUS_SHARES = (0.0, 0.25, 0.5, 1.0)
+#: Vectors of a shelf, and queries of a block, that one task holds at once, about.
+PART_VECTORS, BLOCK_QUERIES = 8192, 2048
+#: Queries that are compared in one product, and spare candidates that are scored exactly.
+AT_ONCE, SPARE = 256, 16
 
 
 @dataclass
@@ -46,6 +61,32 @@ class Tree:
     children: list[list[int]]
     leaf: np.ndarray
     radius: np.ndarray | None = None
+    share: float = 1.0
+
+    @property
+    def leaf_nodes(self) -> np.ndarray:
+        """The node of each leaf."""
+        nodes = np.flatnonzero(self.leaf >= 0)
+        return nodes[np.argsort(self.leaf[nodes])]
+
+    def split(self, leaf: int, below: Tree) -> None:
+        """Puts the tree ``below`` in the place of a leaf; leaves are numbered anew."""
+        node, first = int(self.leaf_nodes[leaf]), len(self.centres)
+        self.centres = np.concatenate([self.centres, below.centres[1:]])
+        self.children += [[kid + first - 1 for kid in kids] for kids in below.children[1:]]
+        self.children[node] = [kid + first - 1 for kid in below.children[0]]
+        self.leaf = np.concatenate([self.leaf, np.zeros(len(below.centres) - 1, dtype=np.int64)])
+
+    def number(self) -> None:
+        """Numbers the leaves so that those below one node come together."""
+        self.leaf = np.full(len(self.centres), -1, dtype=np.int64)
+        work, n = [0], 0
+        while work:
+            node = work.pop()
+            if self.children[node]:
+                work += self.children[node][::-1]
+            else:
+                self.leaf[node], n = n, n + 1
 
     @property
     def leaves(self) -> int:
@@ -67,7 +108,7 @@ class Tree:
     def order(self, query: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
         length, bounds = float(np.linalg.norm(query)), self.centres @ query
-        bounds = bounds + length * self.radius
+        bounds = bounds + self.share * length * self.radius
         queue = [(-bounds[0], 0)]
         while queue:
             _, node = heapq.heappop(queue)
@@ -109,7 +150,9 @@ def fit_tree(sample: np.ndarray, branch: int = BRANCH, leaf_vectors: int = LEAF_
                 centres.append(centre)
                 children.append([])
                 leaf.append(-1)
-    return Tree(np.array(centres), children, np.array(leaf))
+    out = Tree(np.array(centres), children, np.array(leaf))
+    out.number()
+    return out
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -117,9 +160,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.coalesce(good, F.lit(False)))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (lengths["n"] if lengths else 0)).dropDuplicates(["id", "v"])
+    return rows.where(F.coalesce(good, F.lit(False))).dropDuplicates(["id", "v"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -134,33 +175,37 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, able: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query numbers, ids and exact scores of each query's best ``k`` of ``vectors`` other than its own row.
 
-    Equal vectors are scored once and stand for their smallest ids.
+    ``able`` says which vectors a query may have. A fast product picks some more candidates than are wanted; where their
+    last one is clearly worse than what is wanted, no other can be better, else all close ones are scored exactly.
     """
-    order = np.argsort(ids, kind="stable")
-    vectors, ids = vectors[order], ids[order]
-    distinct, group = np.unique(vectors, axis=0, return_inverse=True)
-    by_group = np.argsort(group.ravel(), kind="stable")
-    starts = np.searchsorted(group.ravel()[by_group], np.arange(len(distinct) + 1))
-    out_q, out_i, out_s = [], [], []
-    rough = queries @ distinct.T
-    want = min(k + 1, len(distinct))  # one may be the query itself
-    slack = 1e-9 * (1 + np.abs(rough).max(axis=1))
-    least = np.partition(rough, len(distinct) - want, axis=1)[:, len(distinct) - want] - slack
-    for q in range(len(queries)):
+    rough = queries @ vectors.T
+    rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    if able is not None:
+        rough[~able] = -np.inf
+    n, many = len(ids), min(len(ids), k + SPARE)
+    picked = np.argpartition(rough, n - many, axis=1)[:, n - many :]
+    value = np.take_along_axis(rough, picked, 1)
+    wanted = np.partition(value, max(0, many - k), axis=1)[:, max(0, many - k)]
+    finite = np.where(np.isfinite(rough), np.abs(rough), 0).max(axis=1, initial=0)
+    least = np.where(np.isfinite(wanted), wanted - 1e-9 * (1 + finite), -np.inf)
+    unsure = np.flatnonzero((value.min(axis=1) >= least) & (many < n) & np.isfinite(wanted))
+    sure = np.ones(len(queries), dtype=bool)
+    sure[unsure] = False
+    rows, cols = np.repeat(np.arange(len(queries))[sure], many), picked[sure].ravel()
+    for q in unsure:
         near = np.flatnonzero(rough[q] >= least[q])
-        score = exact_scores(np.broadcast_to(queries[q], distinct[near].shape), distinct[near])
-        rows = [by_group[starts[g] : min(starts[g + 1], starts[g] + k + 1)] for g in near]
-        i = np.concatenate([ids[r] for r in rows])
-        s = np.repeat(score, [len(r) for r in rows])
-        s, i = s[i != query_ids[q]], i[i != query_ids[q]]
-        best = np.lexsort((i, -s))[:k]
-        out_q.append(np.full(len(best), q))
-        out_i.append(i[best])
-        out_s.append(s[best])
-    return (np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)) if out_q else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
+        rows, cols = np.append(rows, np.full(len(near), q)), np.append(cols, near)
+    real = np.isfinite(rough[rows, cols])
+    rows, cols = rows[real], cols[real]
+    score = exact_scores(queries[rows], vectors[cols])
+    order = np.lexsort((ids[cols], -score, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    best = place < k
+    return rows[best], ids[cols[best]], score[best]
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -170,6 +215,7 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
 
 
 _PAIR = "query_id long, vec_id long, score double"
+_FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def brute_force(vectors: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> DataFrame:
@@ -186,70 +232,143 @@ def brute_force(vectors: DataFrame, queries: np.ndarray, query_ids: np.ndarray,
 
 def search(vectors: DataFrame, is_query, k: int, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row for which ``is_query(id)`` holds."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PART_VECTORS))
+    small_batches(vectors.sparkSession, 1024)
     rows = stored(usable(vectors, key, vector), "vectors")
-    n = rows.count()
-    part = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000))
-    sample = rows.where(part < int(1_000_000 * min(1.0, FIT_VECTORS / max(n, 1))) + 1).orderBy("id").toArrow()  # bounded by FIT_VECTORS
-    if not sample.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = fit_tree(_matrix(sample.column("v").combine_chunks()))
+    lengths = [r[0] for r in rows.select(F.size("v")).distinct().collect()]  # one row for each length
+    found = [_search(rows.where(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k, recall) for n in sorted(lengths)]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], _FOUND)
+
+
+def _share(n: int, of: int, salt: str):
+    """About ``n`` of ``of`` rows, by a hash of the id."""
+    return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, n / max(of, 1))) + 1
+
+
+def _place(rows: DataFrame, tree: Tree) -> tuple[DataFrame, np.ndarray]:
+    """``id, v, leaf, off`` (the distance from the leaf's centre), and how many vectors each leaf has. Sets the radii."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column("v"))
             leaf = tree.assign(v)
-            off = np.linalg.norm(v - tree.centres[np.flatnonzero(tree.leaf >= 0)[np.argsort(tree.leaf[tree.leaf >= 0])][leaf]], axis=1)
+            off = np.linalg.norm(v - tree.centres[tree.leaf_nodes[leaf]], axis=1) if len(v) else np.zeros(0)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": batch.column("v"), "leaf": pa.array(leaf, pa.int64()), "off": pa.array(off)})
 
     placed = stored(rows.mapInArrow(place, "id long, v array<double>, leaf long, off double"), "leaves")
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("off").alias("off")).toArrow()  # one row a leaf
-    count, leaf_radius = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves)
-    count[sizes.column("leaf").to_numpy()], leaf_radius[sizes.column("leaf").to_numpy()] = sizes.column("n").to_numpy(), sizes.column("off").to_numpy()
-    tree.radius = _radii(tree, leaf_radius)
-
-    queries = placed.where(is_query(F.col("id")))
-    n_queries = queries.count()
-    part = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(1_000_000))
-    some = queries.where(part < int(1_000_000 * min(1.0, CALIBRATION_QUERIES / max(n_queries, 1))) + 1).select("id", "v").dropDuplicates(["id"]).toArrow()
+    count, radius = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves)
+    count[sizes.column("leaf").to_numpy()], radius[sizes.column("leaf").to_numpy()] = sizes.column("n").to_numpy(), sizes.column("off").to_numpy()
+    tree.radius = _radii(tree, radius)
+    return placed, count
+
+
+def _grown(tree: Tree, placed: DataFrame, count: np.ndarray) -> bool:
+    """Splits each large leaf on a sample of its own vectors, while the tree has room; whether it did."""
+    room = (MAX_NODES - len(tree.centres)) * LEAF_VECTORS // (2 * SPLIT_SAMPLE)
+    large = [int(i) for i in np.argsort(-count, kind="stable") if count[i] > SPLIT_VECTORS][: max(0, room)]
+    if not large:
+        return False
+    shares = placed.sparkSession.createDataFrame([(i, float(min(1.0, SPLIT_SAMPLE / count[i]))) for i in large], "leaf long, share double")  # a row for each leaf that is split
+    some = placed.join(F.broadcast(shares), "leaf").where(F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("leaf", "v")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        below = fit_tree(np.stack(pdf["v"].to_numpy()))
+        parent = np.full(len(below.centres), -1)
+        for node, kids in enumerate(below.children):
+            parent[kids] = node
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[0], "node": np.arange(len(parent)), "parent": parent, "centre": list(below.centres)})
+
+    trees = some.groupBy("leaf").applyInPandas(fit, "leaf long, node int, parent int, centre array<double>").toPandas()  # bounded by MAX_NODES
+    split = False
+    for leaf, nodes in trees.groupby("leaf"):
+        nodes = nodes.sort_values("node")
+        if len(nodes) > 1:
+            children: list[list[int]] = [[] for _ in range(len(nodes))]
+            for node, parent in zip(nodes["node"], nodes["parent"], strict=True):
+                if parent >= 0:
+                    children[parent].append(int(node))
+            tree.split(int(leaf), Tree(np.stack(nodes["centre"].to_numpy()), children, np.zeros(0)))
+            split = True
+    tree.number()
+    return split
+
+
+def _search(rows: DataFrame, is_query, k: int, recall: float) -> DataFrame:
+    spark = rows.sparkSession
+    sample = rows.where(_share(FIT_VECTORS, rows.count(), "fit")).orderBy("id").toArrow()  # bounded by FIT_VECTORS
+    if not sample.num_rows:  # a few rows, none of them in the sample
+        sample = rows.orderBy("id").limit(LEAF_VECTORS).toArrow()
+    tree = fit_tree(_matrix(sample.column("v").combine_chunks()))
+    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    distinct = stored(rows.withColumn("n", first).where(F.col("n") <= k + 1).select("id", "v"), "distinct")
+    placed, count = _place(distinct, tree)
+    while _grown(tree, placed, count):
+        placed, count = _place(distinct, tree)
+
+    queries = rows.where(is_query(F.col("id")))
+    some = queries.where(_share(CALIBRATION_QUERIES, queries.count(), "calibrate")).dropDuplicates(["id"]).toArrow()
     visits = calibrate(tree, placed, _matrix(some.column("v").combine_chunks()), some.column("id").to_numpy(), k, recall) if some.num_rows else tree.leaves
 
+    # shelves: leaves side by side up to PART_VECTORS, or a part of a larger leaf
     parts = np.maximum(1, -(-count // PART_VECTORS))
+    shelf_of, shelf, held = np.zeros(tree.leaves, dtype=np.int64), 0, 0
+    for leaf in range(tree.leaves):
+        if held and (parts[leaf] > 1 or held + count[leaf] > PART_VECTORS):
+            shelf, held = shelf + 1, 0
+        shelf_of[leaf] = shelf
+        held += count[leaf]
+        if parts[leaf] > 1:
+            shelf, held = shelf + parts[leaf], 0
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, leaves = [], []
+            at, shelves, lists = [], [], []
             for i, q in enumerate(_matrix(batch.column("v"))):
-                met = 0
+                met, taken = 0, []
                 for j, leaf in enumerate(tree.order(q)):
                     if j >= visits and met > k:
                         break
-                    at.append(np.full(parts[leaf] * (count[leaf] > 0), i))
-                    leaves.append(np.arange(parts[leaf] * (count[leaf] > 0)) + (leaf << 32))
-                    met += count[leaf]
-            if at:
-                a = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_pydict({"query_id": batch.column("id").take(a), "qv": batch.column("v").take(a), "bin": pa.array(np.concatenate(leaves), pa.int64())})
-
-    visited = queries.select("id", "v").mapInArrow(visit, "query_id long, qv array<double>, bin long")
-    # a leaf's parts by a hash of the id: as many as it needs
-    n_parts = F.element_at(F.array(*[F.lit(int(x)) for x in parts]), (F.col("leaf") + 1).cast("int")) if tree.leaves <= 512 else None
-    binned = placed.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"leaf": np.arange(tree.leaves), "parts": parts}))), "leaf") if n_parts is None else placed.withColumn("parts", n_parts)
-    binned = binned.select("id", "v", (F.shiftleft("leaf", 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("bin"))
+                    if count[leaf]:
+                        taken.append(leaf)
+                        met += count[leaf]
+                taken = np.sort(np.array(taken, dtype=np.int64))
+                on = shelf_of[taken]
+                for x in np.unique(on):
+                    mine = taken[on == x]
+                    for part in range(parts[mine[0]]):
+                        at.append(i)
+                        shelves.append(x + part)
+                        lists.append(mine)
+            a = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_pydict({"query_id": batch.column("id").take(a), "qv": batch.column("v").take(a), "shelf": pa.array(shelves, pa.int64()), "leaves": pa.array(lists, pa.list_(pa.int64()))})
+
+    visited = stored(queries.select("id", "v").mapInArrow(visit, "query_id long, qv array<double>, shelf long, leaves array<bigint>"), "visits")
+    blocks = visited.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("blocks"))  # a row for each shelf
+    visited = visited.join(F.broadcast(blocks), "shelf").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+    where = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(tree.leaves), "first": shelf_of, "parts": parts}))
+    shelved = placed.join(F.broadcast(where), "leaf").select("id", "v", "leaf", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shelf"))
+    shelved = shelved.join(F.broadcast(blocks), "shelf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
     def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        own = q["query_id"].to_numpy()
-        vectors, ids = np.stack(v["v"].to_numpy()), v["id"].to_numpy()
+        v = v.sort_values("id")
+        own, vectors, ids = q["query_id"].to_numpy(), np.stack(v["v"].to_numpy()), v["id"].to_numpy()
+        kinds, kind = np.unique(v["leaf"].to_numpy(), return_inverse=True)
         out = []
-        for i in range(0, len(own), 512):  # bounded memory however many queries come
-            a, b, s = top_k(np.stack(q["qv"].to_numpy()[i : i + 512]), own[i : i + 512], vectors, ids, k)
-            out.append(pd.DataFrame({"query_id": own[i : i + 512][a], "vec_id": b, "score": s}))
+        for i in range(0, len(own), AT_ONCE):
+            some = slice(i, i + AT_ONCE)
+            lists = q["leaves"].to_numpy()[some]
+            visits_ = np.zeros((len(lists), len(kinds)), dtype=bool)
+            row, leaf = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+            there = np.minimum(np.searchsorted(kinds, leaf), len(kinds) - 1)
+            true = kinds[there] == leaf
+            visits_[row[true], there[true]] = True
+            a, b, s = top_k(np.stack(q["qv"].to_numpy()[some]), own[some], vectors, ids, k, visits_[:, kind])
+            out.append(pd.DataFrame({"query_id": own[some][a], "vec_id": b, "score": s}))
         return pd.concat(out)
 
-    pairs = visited.groupBy("bin").cogroup(binned.groupBy("bin")).applyInPandas(compare, _PAIR)
+    pairs = visited.select("query_id", "qv", "leaves", "shelf", "block").groupBy("shelf", "block").cogroup(shelved.select("id", "v", "leaf", "shelf", "block").groupBy("shelf", "block")).applyInPandas(compare, _PAIR)
     return _best(pairs, k)
 
 
@@ -266,9 +385,15 @@ def _radii(tree: Tree, leaf_radius: np.ndarray) -> np.ndarray:
 
 
 def calibrate(tree: Tree, placed: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, recall: float) -> int:
-    """Leaves to visit so that the wanted share of the queries' true neighbours lies in them."""
+    """Leaves to visit so that the wanted share of the queries' true neighbours lies in them; sets the tree's share."""
     true = brute_force(placed.select("id", "v"), queries, ids, k).select("query_id", F.col("vec_id").alias("id"))
     where = placed.select("id", "leaf").join(F.broadcast(true), "id").select("query_id", "leaf").toArrow()  # k rows a query
-    place = {int(i): {leaf: n for n, leaf in enumerate(tree.order(q))} for i, q in zip(ids, queries, strict=True)}
-    ranks = np.sort([place[q][leaf] for q, leaf in zip(where.column("query_id").to_pylist(), where.column("leaf").to_pylist(), strict=True)])
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else tree.leaves
+    if not where.num_rows:
+        return tree.leaves
+    wanted, best = list(zip(where.column("query_id").to_pylist(), where.column("leaf").to_pylist(), strict=True)), (tree.leaves + 1, 1.0)
+    for tree.share in RADIUS_SHARES:
+        place = {int(i): {leaf: n for n, leaf in enumerate(tree.order(q))} for i, q in zip(ids, queries, strict=True)}
+        ranks = np.sort([place[q][leaf] for q, leaf in wanted])
+        best = min(best, (int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1, tree.share))
+    tree.share = best[1]
+    return best[0]

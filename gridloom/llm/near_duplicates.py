@@ -271,7 +271,7 @@ def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFra
     side = lambda s: marks.select(F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("second").alias(f"{s}2"), F.col("third").alias(f"{s}3"))
     close = scratch.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(share, "a long, b long").distinct(), "pairs")
     wanted = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-    keys = scratch.stored(keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "keys")
+    keys = scratch.stored(keyed.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi").select("key"), "keys")
     some = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
