@@ -31,10 +31,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from gridloom import catalogue_jobs  # noqa: F401  it registers its own
+
     return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from gridloom import catalogue_jobs  # noqa: F401
+
     return {name: sql for name, (_, sql) in _ALL.items() if sql}
 
 

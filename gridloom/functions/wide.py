@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,3 +136,54 @@ def constants_buffer(n: int) -> bytes:
     """The 112-byte parameter block: n, r2, r, the inverse and three words of padding."""
     c = montgomery_constants(n)
     return b"".join(pack_u256(c[k]) for k in ("n", "r2", "r")) + c["n0inv"].to_bytes(4, "little") + bytes(12)
+
+
+def _column(f, kind: str):
+    """A column function from a function of Python numbers and texts; nulls stay null."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    # made when it is called: only then there is a session
+    return lambda *columns: F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)(*columns)
+
+
+def hex_text(x: int) -> str:
+    """Of even length."""
+    text = f"{x:x}"
+    return text if len(text) % 2 == 0 else f"0{text}"
+
+
+#: Columns of hex text of any length: from and to decimal text, greatest common divisor, inverse, sums and products
+#: modulo a third, and the 32-byte form.
+decimal_to_hex = _column(lambda x: hex_text(int(x)), "string")
+hex_to_decimal = _column(lambda x: str(int(x, 16)), "string")
+hex_gcd = _column(lambda a, b: hex_text(math.gcd(int(a, 16), int(b, 16))), "string")
+hex_inverse = _column(lambda a, n: hex_text(pow(int(a, 16), -1, int(n, 16))) if math.gcd(int(a, 16), int(n, 16)) == 1 else None, "string")
+hex_add = _column(lambda a, b, n: hex_text((int(a, 16) + int(b, 16)) % int(n, 16)), "string")
+hex_subtract = _column(lambda a, b, n: hex_text((int(a, 16) - int(b, 16)) % int(n, 16)), "string")
+hex_multiply = _column(lambda a, b, n: hex_text(int(a, 16) * int(b, 16) % int(n, 16)), "string")
+hex_to_u256 = _column(lambda a: pack_u256(int(a, 16)), "binary")
+u256_to_hex = _column(lambda data: hex_text(unpack_u256(data)), "string")
+
+
+def coprime_numbers(spark: SparkSession, seed: str, n: int, count: int) -> DataFrame:
+    """(place, x in hex): as ``draw``, with the candidates made and judged in tasks."""
+    from gridloom.operators.sorting import global_rank
+
+    candidates = count + 64
+    while True:
+        made = byte_stream(spark, seed, candidates).select("counter", _column(lambda d: hex_text(int(d, 16) % (n - 1) + 1), "string")("digest").alias("x"))
+        ranked = global_rank(made.where(hex_gcd("x", F.lit(hex_text(n))) == "01"), F.asc("counter"))
+        if ranked.count() >= count:
+            return ranked.where(F.col("place") <= count).select((F.col("place") - 1).alias("place"), "x")
+        candidates *= 2
+
+
+def curve_input(a24: int, x1: int) -> bytes:
+    """One curve's 64-byte block."""
+    return pack_u256(a24) + pack_u256(x1)
+
+
+def powers_buffer(powers: list[int]) -> bytes:
+    return b"".join(q.to_bytes(4, "little") for q in powers)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,31 @@ def byte_ranges(spark: SparkSession, total: int, parts: int) -> DataFrame:
     size = -(-total // parts)
     first = F.least(F.col("id") * size, F.lit(total))
     return spark.range(parts).select(F.col("id").alias("chunk"), first.alias("first"), (F.least((F.col("id") + 1) * size, F.lit(total)) - first).alias("bytes"))
+
+
+def constant_colour(spark: SparkSession, width: int, height: int, colour: tuple[float, float, float, float]) -> DataFrame:
+    """(x, y, r, g, b, a): every pixel alike."""
+    return spark.range(width * height).select((F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"), *[F.lit(c).alias(n) for n, c in zip("rgba", colour, strict=True)])
+
+
+def chunk_plan(jobs: DataFrame, chunk_bytes: int, element_bytes: int = 4) -> DataFrame:
+    """jobs(job, elements) with elements a chunk (rounded down, one at least) and chunks."""
+    size = max(1, chunk_bytes // element_bytes)
+    return jobs.withColumn("per_chunk", F.lit(size).cast("long")).withColumn("chunks", F.ceil(F.col("elements") / size))
+
+
+def output_sizes(jobs: DataFrame) -> DataFrame:
+    """jobs(job, given array, total array, chunks): a chunk's output sizes as given, else the totals divided, rounded up."""
+    return jobs.withColumn("sizes", F.coalesce("given", F.transform("total", lambda t: F.ceil(t / F.col("chunks")))))
+
+
+#: Fixed order: parameters that come first.
+UNIFORMS = ["matrix_n", "matrixSize", "tile_start_row", "tile_start_col", "tile_rows", "tile_cols", "tile_size", "tileSize"]
+
+
+def uniforms(numbers: Column) -> Column:
+    """The values of a map of numbers: the known names in their order, then all others in the map's."""
+    known = F.array(*[F.lit(x) for x in UNIFORMS])
+    first = F.filter(F.transform(known, lambda k: F.try_element_at(numbers, k)), lambda v: v.isNotNull())
+    rest = F.transform(F.filter(F.map_keys(numbers), lambda k: ~F.array_contains(known, k)), lambda k: F.element_at(numbers, k))
+    return F.concat(first, F.filter(rest, lambda v: v.isNotNull()))

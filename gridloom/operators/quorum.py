@@ -33,3 +33,16 @@ def first_to_k(submissions: DataFrame, k: int) -> DataFrame:
 def deduplicated(submissions: DataFrame) -> DataFrame:
     """The first submission of each client for each checksum of a chunk."""
     return submissions.groupBy("chunk", "client", "server_hash").agg(F.min("seq").alias("seq"), F.count("*").alias("times"))
+
+
+def winning_rows(submissions: DataFrame, k: int) -> DataFrame:
+    """The submission that stands for each decided chunk: the first one with the winning checksum."""
+    best = winners(submissions, k).select("chunk", F.col("first_seq").alias("seq"))
+    return submissions.join(best, ["chunk", "seq"])
+
+
+def in_time(submissions: DataFrame, k: int) -> DataFrame:
+    """Submissions up to the one that decides their chunk; those that come after it are ignored."""
+    decided = first_to_k(submissions, k).select("chunk", "decided_at")
+    both = submissions.join(decided, "chunk", "left")
+    return both.where(F.col("decided_at").isNull() | (F.col("seq") <= F.col("decided_at"))).select(*submissions.columns)
