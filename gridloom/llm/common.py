@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +98,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
             spark.conf.set(name, str(most))
 
 
+def extended(docs: DataFrame, more: str) -> StructType:
+    """The columns of ``docs`` and more, given as in SQL."""
+    return StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
+
+
 _held: dict[Any, Any] = {}
 
 

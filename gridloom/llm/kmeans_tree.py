@@ -271,8 +271,10 @@ def _grown(tree: Tree, placed: DataFrame, count: np.ndarray) -> bool:
     shares = placed.sparkSession.createDataFrame([(i, float(min(1.0, SPLIT_SAMPLE / count[i]))) for i in large], "leaf long, share double")  # a row for each leaf that is split
     some = placed.join(F.broadcast(shares), "leaf").where(F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("leaf", "v")
 
+    leaf_vectors = LEAF_VECTORS
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        below = fit_tree(np.stack(pdf["v"].to_numpy()))
+        below = fit_tree(np.stack(pdf["v"].to_numpy()), leaf_vectors=leaf_vectors)
         parent = np.full(len(below.centres), -1)
         for node, kids in enumerate(below.children):
             parent[kids] = node
@@ -298,7 +300,7 @@ def _search(rows: DataFrame, is_query, k: int, recall: float) -> DataFrame:
     sample = rows.where(_share(FIT_VECTORS, rows.count(), "fit")).orderBy("id").toArrow()  # bounded by FIT_VECTORS
     if not sample.num_rows:  # a few rows, none of them in the sample
         sample = rows.orderBy("id").limit(LEAF_VECTORS).toArrow()
-    tree = fit_tree(_matrix(sample.column("v").combine_chunks()))
+    tree = fit_tree(_matrix(sample.column("v").combine_chunks()), leaf_vectors=LEAF_VECTORS)
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     distinct = stored(rows.withColumn("n", first).where(F.col("n") <= k + 1).select("id", "v"), "distinct")
     placed, count = _place(distinct, tree)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import extended, small_batches
 
 PROFILE = 400
 SAMPLE_DOCS = 1500
@@ -133,8 +133,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [model.predict(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64())})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double")
+    return docs.mapInArrow(run, extended(docs, "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

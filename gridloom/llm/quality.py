@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import extended, small_batches
 
 #: Documents on which costs and rejections are measured, about; the order of the rules is all that hangs on them.
 SAMPLE_DOCS = 400
@@ -215,8 +215,7 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text"
             out = {c: batch.column(c) for c in names}
             yield pa.RecordBatch.from_pydict(out | {"kept": pa.array([x is None for x in failed]), "failed": pa.array(failed, pa.string())} | {f: pa.array(v, pa.int64()) for f, v in values.items()})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", kept boolean, failed string" + "".join(f", {f} long" for f in features))
+    return docs.mapInArrow(run, extended(docs, "kept boolean, failed string" + "".join(f", {f} long" for f in features)))
 
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WordTable, gathered, held, small_batches, take
+from gridloom.llm.common import WordTable, extended, gathered, held, small_batches, take
 
 BLANK = "▁"
 #: Words whose ids a worker keeps at most (some 25 bytes each), and the longest word that is searched together with others.
@@ -240,7 +240,7 @@ def _with(docs: DataFrame, column: str, kind: str, make) -> DataFrame:
         for batch in gathered(batches, GATHER_BYTES):
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {column: make(batch)})
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {column} {kind}")
+    return docs.mapInArrow(run, extended(docs, f"{column} {kind}"))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
