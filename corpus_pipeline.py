@@ -25,16 +25,22 @@ from gridloom.llm.common import stored, table
 LEAST_SCORE = 0.2
 
 
+def _whole(docs: DataFrame, *names: str) -> DataFrame:
+    """``row``, with all columns, beside the named ones: so no column of ``docs`` meets one that an operator adds."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *names)
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; the others go."""
-    judged = langid.predict(docs, langid.fit(docs))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    judged = langid.predict(_whole(docs, "text"), langid.fit(docs))
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites share, with the length that is left."""
-    cleaned = line_dedup.remove(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    cleaned = line_dedup.remove(_whole(docs, "text", "source"))
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cleaned.select(*[{"text": F.col("text"), "n_chars": length}.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of the documents so that sources have their target weights, in a random order."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(_whole(docs, "doc_id", "text", "source")).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
