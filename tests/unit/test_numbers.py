@@ -31,12 +31,13 @@ def test_ladder_is_repeated_addition():
     def affine(p):
         return None if p[1] % n == 0 else p[0] * pow(p[1], -1, n) % n
 
-    point = {1: (x, 1), 2: wide._double(x, 1, a24, n)}
-    for k in range(3, 30):  # (k) + (1), whose difference is (k - 2) + ... only differences of one are known: use pairs
-        half, rest = k // 2, k - k // 2
-        point[k] = wide._double(*point[half], a24, n) if half == rest else wide._add(point[rest], point[half], x, n)
-    for k in range(1, 30):
-        assert affine(wide._times(k, x, a24, n)) == affine(point[k])
+    for one in ((x, 1), (5 * x % n, 5)):  # the difference need not be affine
+        point = {1: one, 2: wide._double(one, a24, n)}
+        for k in range(3, 30):  # halves whose difference is the point itself
+            half, rest = k // 2, k - k // 2
+            point[k] = wide._double(point[half], a24, n) if half == rest else wide._add(point[rest], point[half], one, n)
+        for k in range(1, 30):
+            assert affine(wide._times(k, one, a24, n)) == affine(point[k])
 
 
 def test_curves_find_factors(spark):
@@ -44,7 +45,10 @@ def test_curves_find_factors(spark):
     powers = [r["q"] for r in wide.prime_powers(spark, 200).orderBy("p").collect()]
     out = wide.stage_one(wide.random_curves(spark, "ecm:fixture", n, 32), n, powers).collect()
     hits = sorted(r["curve"] for r in out if r["status"] == 2)
-    assert hits and all(n % int(r["result"], 16) == 0 for r in out)
+    assert hits == [2, 15, 19, 24] and all(n % int(r["result"], 16) == 0 for r in out)
+    assert {r["result"] for r in out if r["curve"] in (2, 15)} == {f"{1_000_003:x}"}
+    raw = wide.stage_one(wide.random_curves(spark, "ecm:fixture", n, 3), n, powers, compute_gcd=False).collect()
+    assert [r["status"] for r in raw] == [0, 0, 0] and math.gcd(int(raw[2]["result"], 16), n) == 1_000_003
     first = wide.first_factor(spark, "ecm:fixture", n, powers, 32, wave=8).collect()
     assert [r["curve"] for r in first] == hits[:1] and 1 < int(first[0]["result"], 16) < n
 
@@ -63,6 +67,12 @@ def test_dense_files(spark, tmp_path):
     arrays.write_bytes(struct.pack("<I", 5) + np.arange(5, dtype="<f4").tobytes())
     rows = dense.array_chunks(spark, str(arrays), 2).orderBy("pos").collect()
     assert [(r["chunk"], r["v"]) for r in rows] == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 4)]
+    cells = spark.createDataFrame([(m, i, k, float(x[i, k])) for m, x in (("A", a), ("B", b)) for i in range(n) for k in range(n)], "mat string, i long, k long, v float")
+    dense.write_pair(cells, str(tmp_path / "out.bin"))
+    assert (tmp_path / "out.bin").read_bytes() == struct.pack("<I", n) + a.tobytes() + b.tobytes()
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("out.bin")] == ["out.bin"]
+    with pytest.raises(Exception, match="not the rows"):
+        dense.write_pair(cells.where("NOT (mat = 'B' AND i = 3)"), str(tmp_path / "bad.bin"))
 
 
 def test_matrices_against_numpy(spark):
@@ -71,6 +81,15 @@ def test_matrices_against_numpy(spark):
     rows = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(a)], "i long, row array<bigint>")
     got = {(r["i"], r["j"]): r["v"] for r in linalg.matmul_blocked(linalg.to_blocks(rows, 4, 3), linalg.to_blocks(rows, 5, 3)).collect()}
     assert got == {(i, j): int(v) for (i, j), v in np.ndenumerate(a @ a.T)}
+    half = linalg.half_product(np.full((3, 17), 0.1), np.full((17, 2), 0.3))
+    assert half.dtype == np.float32 and np.allclose(half, 17 * float(np.float16(0.1)) * float(np.float16(0.3)), rtol=1e-6)
+    big = linalg.whole_product(np.array([[2**40, 3]]), np.array([[2**20], [5]]))
+    assert big.tolist() == [[2**60 + 15]]
+    b = spark.createDataFrame([(k, j, int(k * j) - 7) for k in range(10) for j in range(4)], "k int, j int, v long")
+    want = {i: list(map(int, r)) for i, r in enumerate(a @ (np.outer(range(10), range(4)) - 7))}
+    for limit in (1000, 1):
+        linalg.BROADCAST_CELLS = limit
+        assert {r["i"]: list(r["row"]) for r in linalg.matmul_strips(rows, b, 4).collect()} == want
     image = rng.integers(-9, 9, (2, 6, 6))
     w = rng.integers(-3, 3, (3, 3))
     cells = spark.createDataFrame([(b, 0, y, x, int(v)) for (b, y, x), v in np.ndenumerate(image)], "b long, ic int, ih int, iw int, v long")
@@ -90,17 +109,35 @@ def test_sort_is_a_monotone_permutation(spark):
     assert [r["place"] for r in rows] == list(range(1, 501))
 
 
+def test_ranks_and_percentiles_of_few_large_groups(spark):
+    rng = random.Random(6)
+    rows = [(["a", "b", None][rng.randint(0, 2)], i, rng.randint(0, 40)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, i long, v long")
+    groups = {g: sorted((v, i) for h, i, v in rows if h == g) for g in ("a", "b", None)}
+    got = {r["i"]: r["place"] for r in sorting.rank_in_groups(df, "g", F.asc("v"), F.asc("i")).collect()}
+    assert got == {i: n + 1 for some in groups.values() for n, (_, i) in enumerate(some)}
+    found = {r["g"]: r["p"] for r in sorting.percentile(df, "g", "v", 95).collect()}
+    assert all(abs(found[g] - np.percentile([v for v, _ in some], 95)) < 1e-9 for g, some in groups.items())
+    sorting.PART_ROWS = 16
+    down = {r["g"]: (r["n"], r["descents"]) for r in sorting.descents(df.where("g IS NOT NULL"), "g", "i", "v").collect()}
+    for g in "ab":
+        v = [x for h, _, x in rows if h == g]
+        assert down[g] == (len(v), sum(y < x for x, y in zip(v, v[1:], strict=False)))
+
+
 def test_quorum_rules(spark):
     rows = [(1, "a", 1, "x", "x"), (1, "a", 2, "x", "x"), (1, "b", 3, "y", "y"), (1, "c", 4, "y", "y"), (1, "b", 5, "x", "x"), (2, "a", 6, "x", "z")]
     df = spark.createDataFrame(rows, "chunk long, client string, seq long, server_hash string, reported_hash string")
     assert [tuple(r) for r in quorum.first_to_k(df, 2).collect()] == [(1, "y", 4)]
     assert [tuple(r) for r in quorum.winners(df, 2).collect()] == [(1, "x", 2, 1)]
     assert quorum.winners(df, 3).count() == 0
+    assert sorted(r["seq"] for r in quorum.in_time(df, 2).collect()) == [1, 2, 3, 4, 6]
+    assert [(r["client"], r["seq"]) for r in quorum.winning_rows(df, 2).collect()] == [("a", 1)]
 
 
 def test_exact_repeat_rule_in_both_forms(spark, tmp_path):
     rng = random.Random(9)
-    rows = sorted({(rng.randint(0, 4), t) for t in rng.sample(range(1000), 300)}, key=lambda r: r[1])
+    rows = sorted({(rng.randint(0, 4), 10**15 + t) for t in rng.sample(range(1000), 300)}, key=lambda r: r[1])
     df = spark.createDataFrame([(k, n, us) for n, (k, us) in enumerate(rows)], "k long, event long, us long")
     want, last = set(), {}
     for n, (k, us) in enumerate(rows):
@@ -108,8 +145,9 @@ def test_exact_repeat_rule_in_both_forms(spark, tmp_path):
             want.add(n)
             last[k] = us
     assert {r["event"] for r in incremental.deduplicated(df, ["k"], 5).collect()} == want
-    df.orderBy("us").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = incremental.deduplicated_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["k"], 5)
+    timed = df.withColumn("ts", F.timestamp_micros("us"))
+    timed.orderBy("us").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = incremental.deduplicated_stream(spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds"), ["k"], 5)
     stream.writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert {r["event"] for r in spark.table("kept").collect()} == want
 
@@ -126,9 +164,9 @@ def test_small_functions(spark, tmp_path):
 
 def test_registry(spark):
     r = Registry()
-    r.register(Strategy("rows", "chunking", lambda d: d.withColumn("part", F.col("id") % 2)))
-    r.register(Strategy("total", "assembly", lambda d: d.groupBy("part").agg(F.sum("id").alias("v"))))
-    r.register(Strategy("blocks", "assembly", lambda d: d, outputs="blocks"))
+    r.register(Strategy("rows", "chunking", lambda d, m: d.withColumn("part", F.col("id") % 2)))
+    r.register(Strategy("total", "assembly", lambda d, m: d.groupBy("part").agg(F.sum("id").alias("v"))))
+    r.register(Strategy("blocks", "assembly", lambda d, m: d, outputs="blocks"))
     assert r.compatible("rows", "blocks") == (False, ["total"])
     assert sorted(x["v"] for x in r.execute("rows", "total", spark.range(4)).collect()) == [2, 4]
     with pytest.raises(ValueError):
@@ -161,3 +199,72 @@ def test_row_hashes_and_reports(spark, tmp_path):
     assert spark.read.schema(df.schema).json(str(tmp_path / "json")).count() == 2
     files = records.files_with_hash(spark, str(tmp_path / "json" / "*.json"), max_bytes=1).collect()
     assert files and not any(r["accepted"] for r in files)
+
+
+def test_artifacts_and_stages(spark, tmp_path):
+    import hashlib
+
+    from gridloom.sources import artifacts
+
+    chunks = spark.createDataFrame([("x", 2, b"cd"), ("x", 1, b"ab"), ("y", 1, b"z"), ("y", 2, None)], "output string, seq long, data binary")
+    got = {r["output"]: (r["bytes"], r["sha256"]) for r in artifacts.write_artifacts(chunks, str(tmp_path / "out")).collect()}
+    assert got == {"x": (4, hashlib.sha256(b"abcd").hexdigest()), "y": (1, hashlib.sha256(b"z").hexdigest())}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"x.bin": b"abcd", "y.bin": b"z"}
+    one = artifacts.write_artifacts(chunks, str(tmp_path / "one"), combined=["y", "x"]).collect()
+    assert [(r["output"], r["bytes"]) for r in one] == [("output", 5)] and (tmp_path / "one" / "output.bin").read_bytes() == b"zabcd"
+    inputs = spark.createDataFrame([(1, "a/b", b"12"), (1, "c", b"123456"), (1, "d", b"1")], "job long, name string, data binary")
+    kept = {r["name"]: (r["accepted"], r["path"]) for r in artifacts.keep_inputs(inputs, str(tmp_path / "in"), max_files=2, max_bytes=5).collect()}
+    assert [kept[n][0] for n in ("a_b", "c", "d")] == [True, False, False] and kept["c"][1] is None
+    assert [p.read_bytes() for p in (tmp_path / "in").iterdir()] == [b"12"]
+    stages = artifacts.StageStore(spark, str(tmp_path / "stages"))
+    made = []
+    make = lambda: made.append(1) or spark.range(5)
+    for parameters in ({"n": 5}, {"n": 5}, {"n": 6}):
+        assert stages.resume("numbers", parameters, make).count() == 5
+    assert len(made) == 2 and stages.load("other", {}) is None
+
+
+def test_engine_runs_records_and_removes_jobs(spark, tmp_path):
+    from gridloom.plans.engine import Engine
+
+    engine = Engine(spark, str(tmp_path / "jobs"))
+    data = spark.createDataFrame([(0, 5), (1, 3), (2, 4)], "idx long, v long")
+    assert engine.jobs().count() == 0 and engine.status("none") is None
+    job = engine.submit({"label": "s", "chunking": "distributed_sort", "assembly": "sorted"}, data)
+    assert [(r["v"], r["place"]) for r in engine.result(job).orderBy("place").collect()] == [(3, 1), (4, 2), (5, 3)]
+    assert engine.status(job)["status"] == "complete" and engine.status(job)["rows"] == 3
+    failed = engine.submit({"chunking": "linear", "assembly": "concatenate", "metadata": {"index": "none"}}, data)
+    assert engine.status(failed)["status"] == "failed" and engine.status(failed)["error"]
+    with pytest.raises(KeyError):
+        engine.result(failed)
+    for wrong in ({}, {"chunking": "linear", "assembly": "first_factor"}, {"chunking": "linear", "assembly": "concatenate", "k": 0}):
+        with pytest.raises(ValueError):
+            engine.submit(wrong, data)
+    assert engine.remove(3600) == 0 and engine.remove(-1) == 2 and engine.jobs().count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from gridloom.__main__ import main
+
+    spark.createDataFrame([(0, 5), (1, 3)], "idx long, v long").write.parquet(str(tmp_path / "table"))
+    assert main(["--store", str(tmp_path / "s"), "submit", "--input", str(tmp_path / "table"), "--chunking", "distributed_sort", "--assembly", "sorted", "--metadata", '{"chunk_size": 1}']) == 0
+    job = json.loads(capsys.readouterr().out)
+    assert job["rows"] == 2
+    assert main(["--store", str(tmp_path / "s"), "status", job["id"]]) == 0 and json.loads(capsys.readouterr().out)["status"] == "complete"
+    assert main(["--store", str(tmp_path / "s"), "result", job["id"]]) == 0 and main(["--store", str(tmp_path / "s"), "list"]) == 0 and main(["--store", str(tmp_path / "s"), "strategies"]) == 0
+
+
+def test_generated_inputs(spark):
+    from gridloom.functions import series
+
+    n = [r["w"] for r in spark.range(4000).select(series.normal(F.col("id"), "s", 0.02).alias("w")).collect()]
+    assert abs(np.mean(n)) < 0.002 and abs(np.std(n) - 0.02) < 0.002
+    m = [r["v"] for r in series.random_matrix(spark, 20, 7, "int", -3, 3).collect()]
+    assert set(m) == set(range(-3, 4)) and len(m) == 400
+    f = {(r["i"], r["k"]): r["v"] for r in series.random_matrix(spark, 2, 42).collect()}
+    assert f[0, 0] == np.float32(206659 / 233280)
+    assert spark.range(3).select(series.random_id().alias("u")).distinct().count() == 3
+    with pytest.raises(ValueError):
+        series.random_matrix(spark, 2, 1, "text")
