@@ -41,13 +41,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, compression: str = "zstd") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again, which cuts its lineage.
 
     Small results get few files: partitions are joined up to the advisory size, not only down to one for each core.
     """
     spark, name_ = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    path, before = new_folder(spark, name), spark.conf.get(name_)
+    path, before = path or new_folder(spark, name), spark.conf.get(name_)
     spark.conf.set(name_, "false")
     try:
         df.write.option("compression", compression).parquet(path)
@@ -68,9 +68,8 @@ class Scratch:
         self.paths: list[str] = []
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        out = stored(df, name)
-        self.paths += {p.rpartition("/")[0] for p in out.inputFiles()}
-        return out
+        self.paths.append(new_folder(df.sparkSession, name))
+        return stored(df, name, self.paths[-1])
 
     def drop(self, spark: SparkSession) -> None:
         for path in self.paths:

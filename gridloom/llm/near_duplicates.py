@@ -11,6 +11,7 @@ Sets that are equal are one node, named by the hash of the set. Pairs inside a p
 formed. First every node of a list is compared to the list's leader, the node with the fewest edits; a group of copies
 mostly collapses to one component then. What is left are pairs in different components, and for near copies of one
 leader those are found by their differences from it (see ``_left_pairs``), so a group's pairs aren't formed either.
+A long list that holds a second group, strangers to its leader, gets a further leader first.
 Every two different texts that reach the threshold end in one component, and nothing is capped.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing. A text with
@@ -47,6 +48,9 @@ SHORT_PREFIX = 64
 #: Rows of a key and a number that are broadcast at most; beyond, Spark shuffles, with hot keys salted.
 BROADCAST_KEYS = 500_000
 JOIN_SALTS = 16
+#: Lists in which nodes outside the largest component, times all nodes, exceed this get so many further leaders at most,
+#: one after another; what is left after them is compared by the general way.
+HEAVY_PAIRS, MORE_LEADERS = 16_384, 2
 #: Names of sets that a task remembers, so that it writes the prefixes of a copied text once.
 SEEN = 1 << 16
 
@@ -254,12 +258,16 @@ def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, n int, first array<bigint>, second binary, third binary")
 
 
-def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFrame, join: Join) -> DataFrame:
+def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFrame, join: Join, kept: Scratch | None = None) -> DataFrame:
     """``a, b, linked, delta`` of the pairs (``a, b``) that pass the other orders' prefixes, by the whole sets.
 
     ``delta`` holds the shingles that only one of the two has, or null where they are too many to be near copies.
     """
-    scratch = Scratch()
+    scratch, kept = Scratch(), kept or Scratch()
+    ends = scratch.stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    if not (n_ends := ends.count()):
+        return docs.sparkSession.createDataFrame([], "a long, b long, linked boolean, delta array<bigint>")
+    marks = marks.join(F.broadcast(ends) if n_ends <= BROADCAST_KEYS else ends, "node", "left_semi")
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs that share a prefix shingle under the second and the third order too."""
@@ -294,12 +302,12 @@ def compared(pairs: DataFrame, marks: DataFrame, docs: DataFrame, keyed: DataFra
     if sets.count() > sets.select("node").distinct().count():  # repeated rows
         sets = scratch.stored(sets.dropDuplicates(["node"]), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("items").alias(f"{s}i"))
-    out = stored(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ai", "bi").mapInArrow(compare, "a long, b long, linked boolean, delta array<bigint>"), "compared")
+    out = kept.stored(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ai", "bi").mapInArrow(compare, "a long, b long, linked boolean, delta array<bigint>"), "compared")
     scratch.drop(docs.sparkSession)
     return out
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, kept: Scratch | None = None) -> DataFrame:
     """``node, root`` for each node of ``links`` (``a, b``); the root is the component's smallest node.
 
     Alternates large stars (each node's larger neighbours move to its smallest) and small stars (the smaller ones do)
@@ -322,6 +330,9 @@ def connected(links: DataFrame) -> DataFrame:
         if sums == state:
             break
         state = sums
+    before.drop(links.sparkSession)
+    if kept:
+        kept.paths += now.paths
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -342,7 +353,7 @@ def _ordered(x, y) -> tuple:
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
     known = roots.select(F.col("node").alias(node), F.col("root").alias(root))
-    return df.join(known, node, "left").withColumn(root, F.coalesce(root, node))
+    return df.join(F.broadcast(known) if roots.count() <= BROADCAST_KEYS else known, node, "left").withColumn(root, F.coalesce(root, node))
 
 
 def _left_pairs(lists: DataFrame, by_leader: DataFrame, roots: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
@@ -403,13 +414,13 @@ def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "te
     marks = marks.select("node", "n", "second", "third").dropDuplicates(["node"])
 
     # the leader of a list: the node with the fewest prefix shingles of its own, so with the fewest edits
-    own = lists.groupBy("node").agg((F.expr(f"first(n) - ({join.num} * first(n) + {join.den} - 1) div {join.den} + 1") - F.count("*")).alias("own"))
+    own = scratch.stored(lists.groupBy("node").agg((F.expr(f"first(n) - ({join.num} * first(n) + {join.den} - 1) div {join.den} + 1") - F.count("*")).alias("own")), "own")
     drawn = F.struct("own", F.xxhash64("node", F.lit("leader")).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("at").alias("at"))
     leaders = lists.join(own, "node").groupBy("token").agg(F.min(drawn).alias("l"), F.count("*").alias("size")).select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.at").alias("leader_at"), "size")
     lists = scratch.stored(lists.join(leaders, "token"), "lists")
     met = lists.where((F.col("node") != F.col("leader")) & join.may_link(F.col("n"), F.col("leader_n")) & join.reach(F.col("n"), F.col("at"), F.col("leader_n"), F.col("leader_at")))
     pairs = scratch.stored(met.select(*_ordered(F.col("node"), F.col("leader"))).distinct(), "candidates")
-    by_leader = compared(pairs, marks, docs, keyed, join)
+    by_leader = compared(pairs, marks, docs, keyed, join, scratch)
     links = by_leader.where("linked").select("a", "b")
     # keys with several nodes, and one of these that is not the empty set
     several = keyed.where(F.lit(one_by_key) & F.col("key").isNotNull()).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("n") > 0, F.col("node"))).alias("one"))
@@ -417,15 +428,37 @@ def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "te
     repeated = one_by_key and not several.isEmpty()
     if repeated:
         links = links.union(scratch.stored(keyed.where("n > 0").join(several, "key").where("node <> one").select(*_ordered(F.col("one"), F.col("node"))).distinct(), "same-key"))
-    roots = stored(connected(links), "roots")
+    roots = scratch.stored(connected(links, scratch), "roots")
 
     # a list of two has no other pair
-    lists = scratch.stored(_rooted(lists.where("size > 2").select("token", "node", "n", "at", "leader"), roots), "lists")
-    rest = scratch.stored(_left_pairs(lists, by_leader, roots, join, scratch).join(pairs, ["a", "b"], "left_anti"), "candidates")
-    more = compared(rest, marks, docs, keyed, join).where("linked").select("a", "b")
+    lists = lists.where("size > 2").select("token", "node", "n", "at", "leader", "size")
+    rooted = scratch.stored(_rooted(lists, roots), "lists")
+    # a long list may hold a second group of near copies, which are strangers to its leader: it gets a leader of its own
+    tried = None
+    for _ in range(MORE_LEADERS):
+        sizes = rooted.where(F.col("size") * F.col("size") > HEAVY_PAIRS).groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("m"))
+        heavy = scratch.stored(sizes.where((F.col("all") - F.col("m.c")) * F.col("all") > HEAVY_PAIRS).select("token", F.col("m.root").alias("main")), "heavy")
+        if heavy.isEmpty():
+            break
+        some = scratch.stored(rooted.join(heavy, "token").join(own, "node"), "lists")
+        drawn = F.min(F.struct("own", F.xxhash64("node", F.lit("next")).alias("h"), F.col("node").alias("next"), F.col("n").alias("next_n"), F.col("at").alias("next_at"), F.col("root").alias("next_root"))).alias("l")
+        strays = some.where("root <> main")
+        leaders = (strays if tried is None else strays.join(tried, ["token", "node"], "left_anti")).groupBy("token").agg(drawn).select("token", "l.next", "l.next_n", "l.next_at", "l.next_root")
+        leaders = scratch.stored(leaders, "leaders")
+        named = leaders.select("token", F.col("next").alias("node"))
+        tried = named if tried is None else tried.union(named)
+        met = some.join(leaders, "token").where((F.col("root") != F.col("next_root")) & join.may_link(F.col("n"), F.col("next_n")) & join.reach(F.col("n"), F.col("at"), F.col("next_n"), F.col("next_at")))
+        new = scratch.stored(met.select(*_ordered(F.col("node"), F.col("next"))).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
+        pairs = pairs.union(new)
+        more = compared(new, marks, docs, keyed, join, scratch).where("linked").select("a", "b")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = scratch.stored(connected(links, scratch), "roots")
+            rooted = scratch.stored(_rooted(lists, roots), "lists")
+    rest = scratch.stored(_left_pairs(rooted, by_leader, roots, join, scratch).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    more = compared(rest, marks, docs, keyed, join, scratch).where("linked").select("a", "b")
     if not more.isEmpty():
-        roots = stored(connected(links.union(more)), "roots")
-    scratch.drop(spark)
+        roots = scratch.stored(connected(links.union(more), scratch), "roots")
 
     if repeated:  # a row without words belongs to its key's other rows
         keyed = keyed.join(several, "key", "left").select("key", "n", F.when((F.col("n") > 0) | F.col("one").isNull(), F.col("node")).otherwise(F.col("one")).alias("node"), ((F.col("n") > 0) | F.col("one").isNotNull()).alias("linked"))
@@ -434,9 +467,10 @@ def components(docs: DataFrame, join: Join, key: str = "doc_id", text: str = "te
     # the least key of a set, of a component, and back: partial sums first, so that a large group is a few rows
     own = keyed.where("linked AND key IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("members"))
     n_roots = roots.count()
-    own = stored(_labelled(own, roots, "node", "least", n_roots, "left").select("node", F.coalesce("root", "node").alias("root"), "least", "members"), "members")
-    groups = stored(own.groupBy("root").agg(F.min("least").alias("least"), F.sum("members").alias("members")).where("members > 1").select("root", "least"), "groups")
+    own = scratch.stored(_labelled(own, roots, "node", "least", n_roots, "left").select("node", F.coalesce("root", "node").alias("root"), "least", "members"), "members")
+    groups = scratch.stored(own.groupBy("root").agg(F.min("least").alias("least"), F.sum("members").alias("members")).where("members > 1").select("root", "least"), "groups")
     labels = stored(_labelled(own.select("node", "root"), groups, "root", "node", groups.count()).select("node", "least"), "labels")
+    scratch.drop(spark)
     found = _labelled(keyed.select("key", "n", F.when(F.col("linked"), F.col("node")).alias("node")), labels, "node", "key", labels.count(), "left")
     return found.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "key")).alias("component_id"))
 

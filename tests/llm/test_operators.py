@@ -402,6 +402,27 @@ def test_components(spark, width, num):
     assert got == plain_components(rows, width, num)
 
 
+def test_components_of_two_groups_in_the_same_lists(spark, monkeypatch):
+    """Two groups of near copies that share a long passage and are strangers otherwise, with pairs around the threshold."""
+    rng = random.Random(11)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for g in range(3):
+        own = [f"g{g}x{rng.randrange(10**6)}" for _ in range(12 + 4 * g)]
+        for _ in range(40):
+            w = [*shared, *own]
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    want = plain_components(rows, 5, 80)
+    for heavy, leaders in ((16, 2), (10**9, 2)):
+        monkeypatch.setattr(near_duplicates, "HEAVY_PAIRS", heavy)
+        monkeypatch.setattr(near_duplicates, "MORE_LEADERS", leaders)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.components(docs, near_duplicates.Join(5, 80)).collect()}
+        assert got == want
+
+
 def test_components_of_odd_rows(spark):
     join = near_duplicates.Join(3, 90)
     docs = odd_docs(spark)
