@@ -48,7 +48,7 @@ RECALL = 0.95
 #: Shares of the radius that are tried.
 RADIUS_SHARES = (0.0, 0.25, 0.5, 1.0)
 #: Vectors of a shelf, and queries of a block, that one task holds at once, about.
-PART_VECTORS, BLOCK_QUERIES = 8192, 2048
+PART_VECTORS, BLOCK_QUERIES = 8192, 512
 #: Queries that are compared in one product, and spare candidates that are scored exactly.
 AT_ONCE, SPARE = 256, 16
 
