@@ -43,7 +43,7 @@ BUCKET_KEYS = 4096
 #: A block is closed at this many ids; only a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
 #: Words whose ids a worker keeps at most (some 30 bytes each), and the longest of them.
-KEPT_WORDS, LONG_WORD = 500_000, 48
+KEPT_WORDS, LONG_WORD = 900_000, 48
 #: Texts are encoded together until they have this size.
 GATHER_BYTES = 2 << 20
 #: Places that are sent to all tasks at most (16 bytes each); beyond, Spark shuffles the blocks.
