@@ -13,32 +13,34 @@ pieces. An empty table stays empty. Extra columns pass through the first four st
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, line_dedup, mixing, near_duplicates, sentencepiece_viterbi
-from gridloom.llm.common import stored, table
+from gridloom.llm.common import Scratch, table
 
 #: Texts whose profile has less than this in common with every language are rejected.
 LEAST_SCORE = 0.2
 
 
-def _whole(docs: DataFrame, *names: str) -> DataFrame:
-    """``row``, with all columns, beside the named ones: so no column of ``docs`` meets one that an operator adds."""
-    return docs.select(F.struct(*docs.columns).alias("row"), *names)
+def _apart(docs: DataFrame, *names: str) -> DataFrame:
+    """The text and the named columns, and all columns but the text in ``row``: so none meets one that an operator adds."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", *names)
+
+
+def _whole(parts: DataFrame, columns: list[str]) -> DataFrame:
+    return parts.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; the others go."""
-    judged = langid.predict(_whole(docs, "text"), langid.fit(docs))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    judged = langid.predict(_apart(docs), langid.fit(docs))
+    return _whole(judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites share, with the length that is left."""
-    cleaned = line_dedup.remove(_whole(docs, "text", "source"))
+    cleaned = line_dedup.remove(_apart(docs, "source"))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return cleaned.select(*[{"text": F.col("text"), "n_chars": length}.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
@@ -50,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of the documents so that sources have their target weights, in a random order."""
-    return mixing.mix(_whole(docs, "doc_id", "text", "source")).select("row.*")
+    return _whole(mixing.mix(_apart(docs, "doc_id", "source")), docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), Scratch()
     *first, (_, last) = STAGES
-    return last(spark, functools.reduce(lambda d, stage: stored(stage[1](spark, d, sf_dir), stage[0]), first, docs), sf_dir)
+    for name, stage in first:
+        now = Scratch()
+        docs = now.stored(stage(spark, docs, sf_dir), name)
+        before.drop(spark)  # the next stage reads the new result only
+        before = now
+    return last(spark, docs, sf_dir)
