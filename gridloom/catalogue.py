@@ -659,7 +659,7 @@ def output_summary(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("total"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
 
 
-@query()
+@query("""SELECT vec_id, sha256(unhex(array_to_string(list_transform(embedding, lambda x: array_to_string(list_reverse(list_transform([1, 3, 5, 7], lambda i: hex((x::FLOAT::BIT)::BLOB)[i:i + 1])), '')), ''))) AS hash FROM embeddings""")
 def matrix_rows_hash(spark, sf_dir):
     """SHA-256 of each row's 32-bit floats, low byte first."""
     from gridloom.functions.hashing import floats_to_bytes
