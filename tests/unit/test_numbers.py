@@ -75,7 +75,7 @@ def test_dense_files(spark, tmp_path):
         dense.write_pair(cells.where("NOT (mat = 'B' AND i = 3)"), str(tmp_path / "bad.bin"))
 
 
-def test_matrices_against_numpy(spark):
+def test_matrices_against_numpy(spark, monkeypatch):
     rng = np.random.default_rng(3)
     a = rng.integers(-9, 9, (13, 10))
     rows = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(a)], "i long, row array<bigint>")
@@ -88,7 +88,7 @@ def test_matrices_against_numpy(spark):
     b = spark.createDataFrame([(k, j, int(k * j) - 7) for k in range(10) for j in range(4)], "k int, j int, v long")
     want = {i: list(map(int, r)) for i, r in enumerate(a @ (np.outer(range(10), range(4)) - 7))}
     for limit in (1000, 1):
-        linalg.BROADCAST_CELLS = limit
+        monkeypatch.setattr(linalg, "BROADCAST_CELLS", limit)
         assert {r["i"]: list(r["row"]) for r in linalg.matmul_strips(rows, b, 4).collect()} == want
     image = rng.integers(-9, 9, (2, 6, 6))
     w = rng.integers(-3, 3, (3, 3))
@@ -98,7 +98,9 @@ def test_matrices_against_numpy(spark):
         p = np.pad(image, ((0, 0), (padding, padding), (padding, padding)))
         side = (6 + 2 * padding - 3) // stride + 1
         want = {(b, y, x): int((p[b, y * stride : y * stride + 3, x * stride : x * stride + 3] * w).sum()) for b in range(2) for y in range(side) for x in range(side)}
-        assert {(r["b"], r["oh"], r["ow"]): r["v"] for r in linalg.conv2d(cells, weights, 6, 6, 3, stride, padding).collect()} == want
+        for limit in (1000, 1):
+            monkeypatch.setattr(linalg, "BROADCAST_CELLS", limit)
+            assert {(r["b"], r["oh"], r["ow"]): r["v"] for r in linalg.conv2d(cells, weights, 6, 6, 3, stride, padding).collect()} == want
 
 
 def test_sort_is_a_monotone_permutation(spark):
@@ -109,7 +111,7 @@ def test_sort_is_a_monotone_permutation(spark):
     assert [r["place"] for r in rows] == list(range(1, 501))
 
 
-def test_ranks_and_percentiles_of_few_large_groups(spark):
+def test_ranks_and_percentiles_of_few_large_groups(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(["a", "b", None][rng.randint(0, 2)], i, rng.randint(0, 40)) for i in range(600)]
     df = spark.createDataFrame(rows, "g string, i long, v long")
@@ -118,7 +120,7 @@ def test_ranks_and_percentiles_of_few_large_groups(spark):
     assert got == {i: n + 1 for some in groups.values() for n, (_, i) in enumerate(some)}
     found = {r["g"]: r["p"] for r in sorting.percentile(df, "g", "v", 95).collect()}
     assert all(abs(found[g] - np.percentile([v for v, _ in some], 95)) < 1e-9 for g, some in groups.items())
-    sorting.PART_ROWS = 16
+    monkeypatch.setattr(sorting, "PART_ROWS", 16)
     down = {r["g"]: (r["n"], r["descents"]) for r in sorting.descents(df.where("g IS NOT NULL"), "g", "i", "v").collect()}
     for g in "ab":
         v = [x for h, _, x in rows if h == g]
