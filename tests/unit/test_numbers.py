@@ -103,6 +103,41 @@ def test_matrices_against_numpy(spark, monkeypatch):
             assert {(r["b"], r["oh"], r["ow"]): r["v"] for r in linalg.conv2d(cells, weights, 6, 6, 3, stride, padding).collect()} == want
 
 
+def test_blocked_products_write_neither_copies_nor_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a = rng.integers(-900, 900, (23, 10))
+    rows = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(a)], "i long, row array<bigint>")
+    blocks = linalg.to_blocks(rows, 4, 3)
+    out = linalg.matmul_blocked(blocks, blocks)
+    above, found, _ = out._jdf.queryExecution().executedPlan().toString().partition("CartesianProduct")
+    assert found and "Exchange" not in above
+    want = {(i, j): int(v) for (i, j), v in np.ndenumerate(a @ a.T)}
+    assert {(r["i"], r["j"]): r["v"] for r in out.collect()} == want
+    monkeypatch.setattr(linalg, "CELL_ROWS", 7)
+    for blocks_of_slice in (1, 2, 4):  # several slices are added as tiles
+        monkeypatch.setattr(linalg, "SLICE_BLOCKS", blocks_of_slice)
+        got = linalg.matmul_blocked(blocks, linalg.to_blocks(rows, 5, 3)).collect()
+        assert len(got) == len(want) and {(r["i"], r["j"]): r["v"] for r in got} == want
+
+
+def test_blocked_products_of_odd_rows(spark, monkeypatch):
+    rows = [(0, [1, 2, None, 4, 5]), (1, [3]), (1, [10, 7]), (5, [None, None, 6]), (9, [2**31, 0, 0, 2**20]), (10**15, []), (11, None), (12, [None, None, None, 1])]
+    df = spark.createDataFrame(rows, "i long, row array<bigint>")
+    met = {}
+    for i, x in rows:
+        for j, y in rows:
+            for v, w in zip(x or [], y or [], strict=False):
+                met.setdefault((i, j), []).append(None if v is None or w is None else v * w)
+    want = {at: None if set(v) == {None} else sum(x for x in v if x is not None) for at, v in met.items()}
+    assert None in want.values()
+    for blocks_of_slice in (256, 1):
+        monkeypatch.setattr(linalg, "SLICE_BLOCKS", blocks_of_slice)
+        blocks = linalg.to_blocks(df, 4, 2)
+        got = linalg.matmul_blocked(blocks, blocks).collect()
+        assert len(got) == len(want) and {(r["i"], r["j"]): r["v"] for r in got} == want
+    assert linalg.matmul_blocked(linalg.to_blocks(df.where("i < 0")), blocks).count() == 0
+
+
 def test_sort_is_a_monotone_permutation(spark):
     values = [random.Random(5).randint(-50, 50) for _ in range(500)]
     df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
