@@ -138,6 +138,32 @@ def test_blocked_products_of_odd_rows(spark, monkeypatch):
     assert linalg.matmul_blocked(linalg.to_blocks(df.where("i < 0")), blocks).count() == 0
 
 
+def test_relational_products_meet_as_tiles_where_dense(spark, monkeypatch):
+    rng = random.Random(8)
+    a = [(rng.randint(0, 12) * 10**14, rng.randint(0, 9) * 7, rng.choice([None, rng.randint(-99, 99)])) for _ in range(150)] + [(3, None, 5)]
+    b = [(rng.randint(3, 12) * 7, rng.randint(0, 11), rng.choice([None, rng.randint(-99, 99)])) for _ in range(150)]
+    met = {}
+    for i, k, v in a:
+        for q, j, w in b:
+            if k == q:
+                met.setdefault((i, j), []).append(None if v is None or w is None else v * w)
+    want = {at: None if set(v) == {None} else sum(x for x in v if x is not None) for at, v in met.items()}
+    left, right = spark.createDataFrame(a, "i long, k int, v int"), spark.createDataFrame(b, "k long, j int, v long")
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    for sizes in ({}, {"PACK_CELLS": 40, "TILE_ROWS": 4}, {"SLICE_BLOCKS": 1, "BLOCK_COLS": 3}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(linalg, name, size)
+        out = linalg.matmul(left, right)
+        assert "CartesianProduct" in plan(out) and out.dtypes == [("i", "bigint"), ("j", "int"), ("v", "bigint")]
+        got = out.collect()
+        assert len(got) == len(want) and {(r["i"], r["j"]): r["v"] for r in got} == want
+    sparse = spark.range(300).selectExpr("id AS i", "id AS k", "1L AS v")
+    out = linalg.matmul(sparse, sparse.withColumnRenamed("i", "j"))
+    assert "CartesianProduct" not in plan(out) and out.count() == 300
+    halves = linalg.matmul(left.withColumn("v", F.lit(0.5)), right)
+    assert "CartesianProduct" not in plan(halves) and dict(halves.dtypes)["v"] == "double"
+
+
 def test_sort_is_a_monotone_permutation(spark):
     values = [random.Random(5).randint(-50, 50) for _ in range(500)]
     df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
