@@ -138,6 +138,28 @@ def test_blocked_products_of_odd_rows(spark, monkeypatch):
     assert linalg.matmul_blocked(linalg.to_blocks(df.where("i < 0")), blocks).count() == 0
 
 
+def test_a_product_with_itself_is_written_in_little_more_than_half_the_space(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    a = rng.integers(-900, 900, (300, 9))
+    rows = spark.createDataFrame([(i * 3, [int(x) for x in r]) for i, r in enumerate(a)], "i long, row array<bigint>")
+    want = {(i * 3, j * 3): int(v) for (i, j), v in np.ndenumerate(a @ a.T)}
+    monkeypatch.setattr(linalg, "PARTS", 2)
+
+    def size(out, name: str) -> int:
+        out.write.option("parquet.enable.dictionary#v", "false").parquet(str(tmp_path / name))  # large files go without
+        got = spark.read.parquet(str(tmp_path / name)).collect()
+        assert len(got) == len(want) and {(r["i"], r["j"]): r["v"] for r in got} == want
+        return sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet"))
+
+    for blocks_of_slice in (256, 1):
+        monkeypatch.setattr(linalg, "SLICE_BLOCKS", blocks_of_slice)
+        blocks = linalg.to_blocks(rows, 40, 3)
+        alone, both = size(linalg.matmul_blocked(blocks, blocks), f"alone{blocks_of_slice}"), size(linalg.matmul_blocked(blocks, linalg.to_blocks(rows, 40, 3)), f"both{blocks_of_slice}")
+        assert alone < 0.7 * both
+    blocks = linalg.to_blocks(rows.where("i < 90"), 4)
+    assert linalg.matmul_blocked(blocks, blocks, linalg.half_product, "float").distinct().count() == 900
+
+
 def test_relational_products_meet_as_tiles_where_dense(spark, monkeypatch):
     rng = random.Random(8)
     a = [(rng.randint(0, 12) * 10**14, rng.randint(0, 9) * 7, rng.choice([None, rng.randint(-99, 99)])) for _ in range(150)] + [(3, None, 5)]
