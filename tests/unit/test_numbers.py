@@ -186,6 +186,39 @@ def test_relational_products_meet_as_tiles_where_dense(spark, monkeypatch):
     assert "CartesianProduct" not in plan(halves) and dict(halves.dtypes)["v"] == "double"
 
 
+def test_relational_products_with_the_transpose(spark, monkeypatch, tmp_path):
+    rng = random.Random(9)
+    a = [(rng.randint(0, 40) * 10**13, rng.randint(0, 9) * 7, rng.choice([None, rng.randint(-99, 99)])) for _ in range(400)] + [(3, None, 5)]
+    met = {}
+    for i, k, v in a:
+        for j, q, w in a:
+            if k is not None and k == q:
+                met.setdefault((i, j), []).append(None if v is None or w is None else v * w)
+    want = {at: None if set(v) == {None} else sum(x for x in v if x is not None) for at, v in met.items()}
+    odd = spark.createDataFrame(a, "i long, k int, v int")
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    for sizes in ({"TILE_ROWS": 4}, {"PACK_CELLS": 40}, {"SLICE_BLOCKS": 1, "BLOCK_COLS": 3}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(linalg, name, size)
+        out = linalg.matmul(odd)
+        got = out.collect()
+        assert "CartesianProduct" in plan(out) and len(got) == len(want) and {(r["i"], r["j"]): r["v"] for r in got} == want
+    sparse = spark.range(300).selectExpr("id AS i", "id AS k", "2L AS v")
+    assert sorted(map(tuple, linalg.matmul(sparse).collect())) == [(i, i, 4) for i in range(300)]
+    monkeypatch.undo()
+    monkeypatch.setattr(linalg, "PARTS", 2)
+    monkeypatch.setattr(linalg, "TILE_ROWS", 40)
+    x = np.random.default_rng(6).integers(-900, 900, (300, 9))
+    dense = spark.createDataFrame([(i, k, int(v)) for (i, k), v in np.ndenumerate(x)], "i long, k int, v long")
+    taken = []
+    for name, out in (("alone", linalg.matmul(dense)), ("both", linalg.matmul(dense, dense.select("k", F.col("i").alias("j"), "v")))):
+        out.write.option("parquet.enable.dictionary#v", "false").parquet(str(tmp_path / name))  # large files go without
+        got = spark.read.parquet(str(tmp_path / name)).collect()
+        assert len(got) == 90000 and {(r["i"], r["j"]): r["v"] for r in got} == {(i, j): int(v) for (i, j), v in np.ndenumerate(x @ x.T)}
+        taken.append(sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")))
+    assert taken[0] < 0.7 * taken[1]
+
+
 def test_sort_is_a_monotone_permutation(spark):
     values = [random.Random(5).randint(-50, 50) for _ in range(500)]
     df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
