@@ -138,7 +138,7 @@ def test_blocked_products_of_odd_rows(spark, monkeypatch):
     assert linalg.matmul_blocked(linalg.to_blocks(df.where("i < 0")), blocks).count() == 0
 
 
-def test_a_product_with_itself_is_written_in_little_more_than_half_the_space(spark, monkeypatch, tmp_path):
+def test_a_product_with_itself_is_written_in_less_space(spark, monkeypatch, tmp_path):
     rng = np.random.default_rng(6)
     a = rng.integers(-900, 900, (300, 9))
     rows = spark.createDataFrame([(i * 3, [int(x) for x in r]) for i, r in enumerate(a)], "i long, row array<bigint>")
